@@ -30,7 +30,77 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents")).select("doc_id", decode(F.col("ids")).alias("text"))
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """entries with the fields of ``document`` that the operators read; later delivery in ``indexed_at``."""
+    return table(spark, d, "entries").select("id", "indexed_at", "vector", F.col("document.content").alias("content"), F.col("document.url").alias("url"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.split import split_oversized
+
+    return split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"), "greedy")
+
+
+def p1_balanced(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.split import split_oversized
+
+    return split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"), "balanced", context_col="heading_context", with_text=True)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different texts (by the smallest id of exact copies), and each copy with that id."""
+    found = _near(spark, d)
+    copies = found.members.filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    return found.pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).unionByName(copies)
+
+
+def _near(spark: SparkSession, d: str):
+    from docmill.llm.neardup import near_duplicates
+
+    return near_duplicates(_entries(spark, d), "id", "content", threshold=0.6, shingle=3, min_words=30)
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each entry: its class of exact copies and the number of other classes it is similar to."""
+    found = _near(spark, d)
+    links = found.pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return found.members.join(links, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _lines(spark: SparkSession, d: str):
+    from docmill.llm.lines import SourceLines, host_of
+
+    e = _entries(spark, d)
+    return SourceLines(e, "id", "content", host_of(F.col("url")), "indexed_at")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).places()
+
+
+def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).sequences()
+
+
+def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).cleaned()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.leakage import contained
+
+    return contained(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_balanced": p1_balanced,
+    "p2_found": p2_found,
+    "p2_classes": p2_classes,
+    "p4_found": p4_found,
+    "p4_sequences": p4_sequences,
+    "p4_cleaned": p4_cleaned,
+    "p7_found": p7_found,
     "p6_ids": p6_ids,
     "p6_spans": p6_spans,
     "p6_decoded": p6_decoded,
