@@ -92,7 +92,48 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return contained(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+def _host(col: str):
+    from docmill.llm.lines import host_of
+
+    return host_of(F.col(col))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.boilerplate import frame_lines
+
+    return frame_lines(table(spark, d, "extracted"), host=_host("url"))
+
+
+def p3_body(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.boilerplate import main_body
+
+    return main_body(table(spark, d, "extracted"), host=_host("url"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.quality import text_kinds
+
+    return text_kinds(table(spark, d, "documents")).filter("kind <> 'prose'")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.quality import text_statistics
+
+    return text_statistics(table(spark, d, "documents"))
+
+
+def p8_sketches(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.quality import sketches, text_statistics
+
+    return sketches(text_statistics(table(spark, d, "documents")))
+
+
 QUERIES: dict[str, Query] = {
+    "p3_found": p3_found,
+    "p3_body": p3_body,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
+    "p8_sketches": p8_sketches,
     "p1_found": p1_found,
     "p1_balanced": p1_balanced,
     "p2_found": p2_found,
