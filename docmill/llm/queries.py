@@ -128,7 +128,15 @@ def p8_sketches(spark: SparkSession, d: str) -> DataFrame:
     return sketches(text_statistics(table(spark, d, "documents")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from docmill.llm.neighbours import nearest_neighbours
+
+    near = nearest_neighbours(_entries(spark, d))
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 QUERIES: dict[str, Query] = {
+    "p5_found": p5_found,
     "p3_found": p3_found,
     "p3_body": p3_body,
     "p8_found": p8_found,
