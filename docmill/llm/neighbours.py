@@ -122,7 +122,7 @@ def nearest_neighbours(
     dim: int = 64,
     k: int = 10,
     probes: int = 4,
-    rerank: int = 64,
+    rerank: int = 128,
     cell_rows: int = 400,
     block_rows: int = 4000,
     books: int = 4,
@@ -143,7 +143,7 @@ def nearest_neighbours(
     found = [np.asarray(r.v, np.float64) for r in sample.toLocalIterator()] or [np.ones(dim)]
     x = np.stack(found)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cells = int(min(max(1, total // cell_rows), max(1, len(x) // 16)))
+    cells = int(min(max(1, total // cell_rows), max(1, len(x) // 8)))
     shared = spark.sparkContext.broadcast(fit(x, cells, books, words))
     probes = min(probes, cells)
 
