@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode White_Space in Java's regular expressions.
-SPACE = r"[\u0009-\u000D \u0085   -     　]"
+SPACE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: ASCII punctuation.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
