@@ -19,7 +19,7 @@ from docmill.plans.lineage import cut
 from docmill.plans.sizing import small_side
 
 #: Unicode White_Space, for Java's regular expressions.
-WHITE = r"[\u0009-\u000D \u0085   -     　]"
+WHITE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Parts into which the rows of a source are dealt where its frequent lines are joined by shuffle.
 SALTS = 32
 
