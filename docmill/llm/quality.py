@@ -41,7 +41,7 @@ _CLEAN = re.compile(r"^[^\W\d_][\w'’.\-/` ]*$")
 _RULE = re.compile(r"^[\s|+:=-]+$")
 _GAPS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 _END = re.compile(r"[.!?:;。！？…]['\"”»)*_`]*$")
-_MOJIBAKE = re.compile("[\xc3\xc2\xe2][-\xbf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2020\u2021\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]|\ufffd")
+_MOJIBAKE = re.compile("[\xc3\xc2\xe2][\x80-\xbf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2020\u2021\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]|\ufffd")
 _KANA = re.compile("[\u3040-\u30ff]")
 _CJK = re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
 
