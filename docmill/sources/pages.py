@@ -88,7 +88,7 @@ def crawl(pages: DataFrame, config: CrawlConfig) -> tuple[DataFrame, CrawlProgre
     if "status" in pages.columns:
         source = source.filter("status = 200")
     source = source.groupBy("url").agg(F.min("html").alias("html"))
-    frontier = spark.createDataFrame([(config.start_url, 0)], "url string, rank long")
+    frontier = spark.createDataFrame([(config.start_url, [0])], "url string, rank array<long>")
     visited = frontier.select("url")
     levels: list[DataFrame] = []
     crawled = failed = queued = depth = 0
@@ -102,9 +102,9 @@ def crawl(pages: DataFrame, config: CrawlConfig) -> tuple[DataFrame, CrawlProgre
         if not n or not follows(config.mode, depth, config.max_depth):
             break
         links = level.select("rank", F.posexplode("page.links").alias("nth", "url")).filter(admitted(F.col("url"), config.patterns, config.allowed_domains))
-        first = links.join(visited, "url", "left_anti").groupBy("url").agg(F.min(F.struct("rank", "nth")).alias("place"))
-        # ranks only order one level's new urls; the pages kept are at most max_pages
-        frontier = cut(first.select("url", F.row_number().over(Window.orderBy("place", "url")).cast("long").alias("rank")))
+        # a rank is the path of link numbers from the start, so order needs no global numbering
+        place = F.concat("rank", F.array(F.col("nth").cast("long")))
+        frontier = cut(links.join(visited, "url", "left_anti").groupBy("url").agg(F.min(place).alias("rank")))
         queued = frontier.count()
         if not queued:
             break
