@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,6 +38,11 @@ CODE_LANGUAGES = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
     """Whether the text contains one of ``parts``; null of null."""
     return reduce(lambda a, b: a | b, (c.contains(p) for p in parts))
@@ -75,7 +81,7 @@ def has_code(c: Column) -> Column:
 
 def first_heading(c: Column) -> Column:
     """Text of the first heading of level 1 to 3; null if there is none."""
-    return F.nullif(F.regexp_extract(c, r"(?m)^#{1,3}\s+(.+)$", 1), F.lit(""))
+    return F.nullif(trim(F.regexp_extract(c, r"(?md)^#{1,3}\s+(.+)$", 1)), F.lit(""))
 
 
 def heading_level(line: Column) -> Column:
@@ -120,10 +126,14 @@ def text_lines(c: Column) -> Column:
 def is_quality(c: Column, min_bytes: int = 100) -> Column:
     """Whether a chunk is worth keeping: long enough, a third of letters, no mark of navigation, no more
     punctuation than letters, and not mostly repeated lines. Null of null."""
-    t = trim(c)
-    size, letters, lines = F.octet_length(t), alphabetic_count(t), text_lines(t)
-    repeated = (F.size(lines) > 1) & (F.size(F.array_distinct(lines)) < F.floor(F.size(lines) / 2))
-    return (size >= min_bytes) & (letters >= F.floor(size / 3)) & ~contains_any(F.lower(t), NAVIGATION) & (punctuation_count(t) <= letters) & ~repeated
+
+    def judge(t: Column) -> Column:
+        size = F.octet_length(t)
+        repeated = let(text_lines(t), lambda x: (F.size(x) > 1) & (F.size(F.array_distinct(x)) < F.floor(F.size(x) / 2)))
+        lettered = let(alphabetic_count(t), lambda n: (n >= F.floor(size / 3)) & (punctuation_count(t) <= n))
+        return (size >= min_bytes) & lettered & ~let(F.lower(t), lambda low: contains_any(low, NAVIGATION)) & ~repeated
+
+    return let(trim(c), judge)
 
 
 def needs_next(c: Column) -> Column:
@@ -190,7 +200,9 @@ def clean_markdown(c: Column, compat: bool = False) -> Column:
     squeezed = F.regexp_replace(c, "\n{3,}", "\n\n")
 
     def keep(raw: Column) -> Column:
-        line = trim(raw)
+        return let(trim(raw), judge)
+
+    def judge(line: Column) -> Column:
         navigation = contains_any(F.lower(line), NAVIGATION_LINES) & (F.octet_length(line) < 50)
         code = contains_any(line, ("def ", "function", "class "))
         kept = (F.octet_length(line) >= 3) & ~navigation & ((alphabetic_count(line) > punctuation_count(line)) | code)
@@ -203,7 +215,7 @@ def clean_markdown(c: Column, compat: bool = False) -> Column:
 
 def split_headers(c: Column) -> Column:
     """Sections that begin at headings of level 1 to 3 (and what comes before the first); no blank ones."""
-    return F.filter(F.split(c, r"(?m)(?=^#{1,3}\s+.+$)", -1), lambda x: ~is_blank(x))
+    return F.filter(F.split(c, r"(?md)(?=^#{1,3}\s+.+$)", -1), lambda x: ~is_blank(x))
 
 
 def split_paragraphs(c: Column) -> Column:

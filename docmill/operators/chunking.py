@@ -142,7 +142,7 @@ def section_pieces(text: str, max_tokens: int) -> list[Piece]:
     named = []
     for start, end, content, _, _ in out:
         m = _FIRST_HEADING.search(content)
-        named.append((start, min(end, len(text)), content, None, m[1] if m else None))
+        named.append((start, min(end, len(text)), content, None, m[1].strip() or None if m else None))
     return named
 
 
@@ -204,17 +204,21 @@ def chunk(df: DataFrame, strategy: ChunkStrategy, id_col: str = "id", text_col:
 
 def overlap_before(previous: Column, lines: int) -> Column:
     """The previous chunk's last ``lines`` lines, trimmed, if they say something; else null."""
-    all_lines = X.text_lines(previous)
-    n = F.least(F.size(all_lines), F.lit(lines))
-    tail = X.trim(F.array_join(F.slice(all_lines, F.size(all_lines) - n + 1, n), "\n"))
-    says = (F.octet_length(tail) > 20) & (F.regexp_replace(tail, f"{X.PUNCTUATION}|{X.SPACE}", "") != "")
-    return F.when(previous.isNotNull() & (n > 0) & says, tail)
+
+    def last(x: Column) -> Column:
+        n = F.least(F.size(x), F.lit(lines))
+        return X.trim(F.array_join(F.slice(x, F.size(x) - n + 1, n), "\n"))
+
+    def judge(tail: Column) -> Column:
+        return F.when((F.octet_length(tail) > 20) & (F.regexp_replace(tail, f"{X.PUNCTUATION}|{X.SPACE}", "") != ""), tail)
+
+    return F.when(previous.isNotNull() & F.lit(lines > 0), X.let(X.let(X.text_lines(previous), last), judge))
 
 
 def overlap_after(content: Column, following: Column) -> Column:
     """The next chunk's first three lines, trimmed, if this one ends within a thought; else null."""
     head = X.trim(F.array_join(F.slice(X.text_lines(following), 1, 3), "\n"))
-    return F.when(following.isNotNull() & X.needs_next(content) & (F.octet_length(head) > 20), head)
+    return F.when(following.isNotNull() & X.needs_next(content), X.let(head, lambda x: F.when(F.octet_length(x) > 20, x)))
 
 
 def with_overlap(df: DataFrame, by: str, order: str, content_col: str = "content", overlap: int = 200) -> DataFrame:
@@ -225,7 +229,9 @@ def with_overlap(df: DataFrame, by: str, order: str, content_col: str = "content
     before = overlap_before(F.col("_before"), overlap // 10)
     after = overlap_after(c, F.col("_after"))
     joined = F.concat(F.coalesce(F.concat(F.lit("..."), before, F.lit("\n\n")), F.lit("")), c, F.coalesce(F.concat(F.lit("\n\n"), after, F.lit("...")), F.lit("")))
-    return sided.withColumn(content_col, joined).drop("_before", "_after")
+    # exploded, so that what reads the content doesn't compute it again for each time it names it
+    names = [c for c in df.columns if c != content_col]
+    return sided.select(*names, F.explode(F.array(joined)).alias(content_col)).select(*df.columns)
 
 
 def crawl_chunks(df: DataFrame, strategy: CrawlChunks | None = None, id_col: str = "id", text_col: str = "content", across: bool = False, seen: DataFrame | None = None) -> DataFrame:
