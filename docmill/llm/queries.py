@@ -155,6 +155,24 @@ QUERIES: dict[str, Query] = {
     "p6_decoded": p6_decoded,
 }
 
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_WS = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 ORACLES: dict[str, str] = {
+    "p2_found": f"""WITH e AS (SELECT id, {_WORDS.format("document.content")} AS w FROM entries WHERE document.content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id) = 1),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM e WHERE len(w) >= 30)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE shared >= 0.6 * (a.n + b.n - shared)""",
+    "p4_found": f"""WITH e AS (SELECT id, document.content AS c, regexp_replace(lower(regexp_extract(document.url, '://([^/:?#]*)', 1)), '^www\\.', '') AS host FROM entries QUALIFY row_number() OVER (PARTITION BY id) = 1),
+h AS (SELECT host, count(*) AS docs FROM e WHERE host <> '' GROUP BY 1),
+l AS (SELECT id, host, i AS line_no, trim(regexp_replace(regexp_replace(lower(lines[i]), '[0-9]+', '0', 'g'), '{_WS}+', ' ', 'g')) AS key FROM (SELECT id, host, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT id, host, string_split(c, chr(10)) AS lines FROM e WHERE host <> ''))),
+k AS (SELECT * FROM l WHERE len(regexp_extract_all(key, '[\\p{{L}}\\p{{N}}]+')) >= 3),
+f AS (SELECT host, key, count(DISTINCT id) AS n FROM k GROUP BY 1, 2)
+SELECT id, line_no FROM k JOIN f USING (host, key) JOIN h USING (host) WHERE n >= 4 AND n >= 0.05 * docs""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_found": f"""WITH b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+q AS (SELECT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS run FROM (SELECT item_id, w, least(len(w), 13) AS m, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
+r AS (SELECT DISTINCT doc_id, m, array_to_string(w[i:i + m - 1], ' ') AS run FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM q) WHERE len(w) >= m))
+SELECT DISTINCT doc_id, item_id FROM r JOIN q USING (m, run)""",
 }
