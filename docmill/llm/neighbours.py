@@ -19,10 +19,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.plans.lineage import cut
+from docmill.plans.sizing import small_side
 
 #: Rows that the model is fitted on, at most.
 SAMPLE_ROWS = 40_000
@@ -115,6 +116,23 @@ def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
+def with_copies(best: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """Neighbours of all ids from those of the representatives of equal vectors.
+
+    Of a group only its k + 1 smallest ids can be among anyone's k best, ties going to the smaller id. A rank
+    limit that applies before the shuffle finds them, so no group is gathered.
+    """
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+    first = cut(copies.withColumn("r", rank).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("member")))
+    near = best.join(first, best["other"] == first["rep"], "left").select(best["id"], F.coalesce("member", "other").alias("other"), "score")
+    own = first.select(F.col("rep").alias("id"), F.col("member").alias("other"), F.lit(1.0).alias("score"))
+    lists = cut(_best(near.unionByName(own), k + 1).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "other"))).alias("best")))
+    alone = lists.join(copies.filter("id <> rep"), "id", "left_anti").join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_anti").select("id", "best")
+    among = copies.join(lists.withColumnRenamed("id", "rep"), "rep").select("id", "best")
+    whole = alone.unionByName(among).select("id", F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, k).alias("best"))
+    return whole.select("id", F.explode("best").alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.s")).alias("score"))
+
+
 def nearest_neighbours(
     df: DataFrame,
     id_col: str = "id",
@@ -137,7 +155,13 @@ def nearest_neighbours(
     table gives an empty result; with fewer than ``k`` others, all of them can come out.
     """
     spark = df.sparkSession
-    rows = cut(usable(df, id_col, vector_col, dim))
+    everyone = cut(usable(df, id_col, vector_col, dim).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(71), F.col("v"))}))
+    # equal vectors are one row of the index: a large group of copies costs one
+    groups = cut(everyone.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    n_groups = groups.count()
+    copies = everyone.join(small_side(groups.select("h1", "h2", "rep"), n_groups), ["h1", "h2"]).select("id", "rep")
+    rows = everyone.select("id", "v") if not n_groups else everyone.select("id", "v").join(copies.filter("id <> rep").select("id"), "id", "left_anti")
+    rows = rows if not n_groups else cut(rows)
     total = rows.count()
     sample = rows.select("v", F.xxhash64("id").alias("h")).filter(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * min(1.0, 0.9 * sample_rows / max(1, total))) + 1).limit(sample_rows).select("v")
     found = [np.asarray(r.v, np.float64) for r in sample.toLocalIterator()] or [np.ones(dim)]
@@ -227,5 +251,11 @@ def nearest_neighbours(
             yield from search(pa.Table.from_batches(held))
 
     hits = both.select("cell", "block", "id", "v", "codes", "norm").mapInArrow(run, "id string, other string, score double")
+    best = _best(hits, k)
+    return best if not n_groups else with_copies(best, copies, k)
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The k best others of each id; a list holds k hits of each cell and block that the id has asked."""
     ranked = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "other"))), 1, k).alias("best"))
     return ranked.select("id", F.explode("best").alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.s")).alias("score"))

@@ -198,7 +198,7 @@ def with_scores(stats: DataFrame, quantiles: DataFrame) -> DataFrame:
 def kind_of() -> Column:
     """``list``, ``table``, ``junk`` or ``prose`` of a row of :func:`with_scores`."""
     c = F.col
-    garbled = (c("z_garbled_share") > 4) | (c("single_share") > 0.5)
+    garbled = (c("z_garbled_share") > 4) | ((c("single_share") > 0.5) & (c("digit_share") < 0.3))
     repeats = (c("repeat_share") > 0.5) | (c("z_distinct_share") < -7)
     alien = (c("z_common_share") < -4) | (c("z_single_share") > 8) | (c("z_symbol_share") > 15) | (c("z_longest") > 12)
     return (
