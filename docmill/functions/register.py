@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.html import extract
 from docmill.operators import chunking
-from docmill.schema import EXTRACTED, FixedSize, HeadingBased, Semantic
+from docmill.schema import EXTRACTED, ChunkStrategy, FixedSize, HeadingBased, Semantic
 
 _PIECES = "array<struct<start_char:bigint,end_char:bigint,content:string,heading:string,heading_context:string>>"
 
@@ -22,6 +24,17 @@ EXPRESSIONS = {
 }
 
 
+def _chunker(strategy: Callable[[int, int], ChunkStrategy]):
+    """Chunks of a text by a strategy of two sizes, as a function of a batch."""
+
+    @F.pandas_udf(_PIECES)
+    def cut(text: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
+        fields = ("start_char", "end_char", "content", "heading", "heading_context")
+        return pd.Series([None if t is None else [dict(zip(fields, p, strict=True)) for p in chunking.pieces(t, strategy(int(a), int(b)))] for t, a, b in zip(text, first, second, strict=True)])
+
+    return cut
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to the session; returns their names."""
     names = []
@@ -30,12 +43,7 @@ def register(spark: SparkSession) -> list[str]:
         names.append(head.split("(")[0])
     for name, of in (("chunk_fixed", lambda a, b: FixedSize(a, b)), ("chunk_paragraphs", lambda a, b: Semantic(a, b)), ("chunk_headings", lambda a, b: HeadingBased(a, b))):
 
-        @F.pandas_udf(_PIECES)
-        def cut(text: pd.Series, first: pd.Series, second: pd.Series, of=of) -> pd.Series:
-            fields = ("start_char", "end_char", "content", "heading", "heading_context")
-            return pd.Series([None if t is None else [dict(zip(fields, p, strict=True)) for p in chunking.pieces(t, of(int(a), int(b)))] for t, a, b in zip(text, first, second, strict=True)])
-
-        spark.udf.register(name, cut)
+        spark.udf.register(name, _chunker(of))
         names.append(name)
 
     @F.pandas_udf(EXTRACTED)

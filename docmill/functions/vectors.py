@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def literal(values: Sequence[float]) -> Column:
@@ -71,16 +72,16 @@ def quantize(v: Column, low: Column, high: Column) -> Column:
 def dequantize(codes: Column, low: Column, high: Column) -> Column:
     """Values of 8-bit codes; an error if the number of codes isn't the number of dimensions."""
     ranged = F.zip_with(low, high, lambda lo, hi: F.struct(lo.alias("lo"), (hi - lo).alias("range")))
-    checked = F.when(F.size(codes) == F.size(low), codes).otherwise(F.raise_error(F.lit("codes and bounds differ in length")).cast("array<int>"))
+    checked = F.when(codes.isNull() | (F.size(codes) == F.size(low)), codes).otherwise(F.raise_error(F.lit("codes and bounds differ in length")).cast("array<int>"))
     return F.zip_with(checked, ranged, lambda c, r: c / F.lit(255.0) * r["range"] + r["lo"])
 
 
 def check_dimension(v: Column, dim: int) -> Column:
     """The vector itself; an error where it hasn't ``dim`` values."""
-    return F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.format_string("expected %d values, found %d", F.lit(dim), F.size(v))))
+    return F.when(v.isNull() | (F.size(v) == dim), v).otherwise(F.raise_error(F.format_string("expected %d values, found %d", F.lit(dim), F.size(v))))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Little-endian 32-bit floats of a vector; null of null."""
     import numpy as np
@@ -89,7 +90,7 @@ def to_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The vector of little-endian 32-bit floats; an error if the length isn't a multiple of four."""
     import numpy as np

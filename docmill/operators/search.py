@@ -129,7 +129,7 @@ def batch_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
 
     found, names, vectors, size = None, [], [], 0
     for r in queries.filter(F.col(query_col).isNotNull()).select(F.col(query_id_col).alias("q"), F.col(query_col).alias("v")).toLocalIterator():
-        if size + 8 * len(r.v) > QUERY_BYTES:
+        if names and size + 8 * len(r.v) > QUERY_BYTES:
             part = search(names, vectors)
             found, names, vectors, size = (part if found is None else found.unionByName(part)), [], [], 0
         names.append(r.q)
