@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Unicode White_Space in Java's regular expressions.
 SPACE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_SET = SPACE[1:-1]
+_SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: ASCII punctuation.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -50,7 +52,7 @@ def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
 
 def trim(c: Column) -> Column:
     """Without white space (any Unicode) at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -59,9 +61,10 @@ def is_blank(c: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Tokens: lower case, split at white space, without characters other than letters and digits at the ends."""
-    edge = r"[^\p{IsAlphabetic}\p{N}]+"
-    parts = F.split(F.lower(c), SPACE + "+")
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, f"^{edge}|{edge}$", "")), lambda x: x != "")
+    # one pass over the text: runs of other characters that stand next to white space or an end
+    other = rf"[^\p{{IsAlphabetic}}\p{{N}}{_SET}]+"
+    bare = F.regexp_replace(F.lower(c), f"(?<![^{_SET}]){other}|{other}(?![^{_SET}])", "")
+    return F.filter(F.split(bare, SPACE + "+"), lambda x: x != "")
 
 
 def estimate_tokens(c: Column) -> Column:

@@ -16,7 +16,7 @@ from docmill.functions import text as X
 from docmill.functions import vectors as V
 from docmill.functions.html import extract_page
 from docmill.operators import ann, bm25, chunking, dedup, hybrid, lifecycle, quantizer, search
-from docmill.plans.tables import table
+from docmill.plans.tables import spread, table
 from docmill.schema import AnnParams, Bm25Params, CrawlChunks, CrawlConfig, CrawlMode, FixedSize, HeadingBased, HybridOptions, SearchOptions, Semantic, UrlPatterns
 from docmill.sources import pages
 
@@ -176,7 +176,7 @@ scores AS (SELECT id, sum(ln(@one@(n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf
 
 
 def _docs_index(spark: SparkSession, d: str) -> bm25.Bm25Index:
-    return bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
+    return bm25.build_index(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query("tokenize_counts", f"SELECT doc_id, len(coalesce({_TOK}, [])) AS tokens, len(list_distinct(coalesce({_TOK}, []))) AS terms FROM documents")
@@ -364,7 +364,7 @@ _QUAL = f"(strlen(t) >= 100 AND {_LET} >= strlen(t) // 3 AND NOT (" + " OR ".joi
 
 @query("quality_filter", f"SELECT chunk_id, {_QUAL} AS quality FROM (SELECT chunk_id, {_T} AS t FROM chunks)")
 def quality_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", X.is_quality(F.col("content")).alias("quality"))
+    return spread(table(spark, d, "chunks").select("chunk_id", "content")).select("chunk_id", X.is_quality(F.col("content")).alias("quality"))
 
 
 @query(
@@ -400,7 +400,7 @@ _NORM = f"regexp_replace(lower({_T}), '{_WS}+', ' ', 'g')"
 
 @query("dedup_normalised", f"SELECT chunk_id, source FROM chunks WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_NORM} ORDER BY chunk_id) = 1")
 def dedup_normalised(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").select("chunk_id", "source", "content")
+    c = spread(table(spark, d, "chunks").select("chunk_id", "source", "content"))
     return dedup.first_of_each(c, X.normalized_hash(F.col("content")), ["chunk_id"]).select("chunk_id", "source")
 
 
@@ -442,7 +442,7 @@ j AS (SELECT page_id, {_trim("regexp_replace(regexp_replace(array_to_string(list
 SELECT page_id, md5(text) AS digest FROM j""",
 )
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "extracted").filter("markdown IS NOT NULL")
+    rows = spread(table(spark, d, "extracted").select("page_id", "markdown")).filter("markdown IS NOT NULL")
     return rows.select("page_id", F.md5(X.clean_markdown(F.col("markdown"))).alias("digest"))
 
 
@@ -487,7 +487,7 @@ def overlap_lag_lead(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunked(strategy) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        e = dedup.first_of_each(flat_entries(spark, d).select("id", "indexed_at", "content"), F.col("id"), ["id", "indexed_at"])
+        e = dedup.first_of_each(flat_entries(spark, d).select("id", "indexed_at", "content"), F.col("id"), ["id", "indexed_at"]).repartition("id")
         return chunking.chunk(e, strategy)
 
     return run
@@ -504,7 +504,7 @@ query("chunk_crawl")(_chunked(CrawlChunks()))
 
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages made of the extracted texts: a title, meta tags, a menu, the text line by line, code, links to other pages."""
-    e = table(spark, d, "extracted").filter("url IS NOT NULL AND markdown IS NOT NULL")
+    e = spread(table(spark, d, "extracted")).filter("url IS NOT NULL AND markdown IS NOT NULL")
 
     def esc(c):
         return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
