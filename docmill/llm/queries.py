@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.plans.tables import table
+from docmill.plans.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,19 +15,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.encode import encode
 
-    return encode(table(spark, d, "documents"))
+    return encode(_documents(spark, d))
 
 
 def p6_spans(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.encode import token_spans
 
-    return token_spans(table(spark, d, "documents"))
+    return token_spans(_documents(spark, d))
 
 
 def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.encode import decode, encode
 
-    return encode(table(spark, d, "documents")).select("doc_id", decode(F.col("ids")).alias("text"))
+    return encode(_documents(spark, d)).select("doc_id", decode(F.col("ids")).alias("text"))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -35,16 +35,24 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entries").select("id", "indexed_at", "vector", F.col("document.content").alias("content"), F.col("document.url").alias("url"))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "chunks").select("chunk_id", "strategy", "content", "heading_context"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.split import split_oversized
 
-    return split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"), "greedy")
+    return split_oversized(_chunks(spark, d), table(spark, d, "chunk_limits"), "greedy")
 
 
 def p1_balanced(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.split import split_oversized
 
-    return split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"), "balanced", context_col="heading_context", with_text=True)
+    return split_oversized(_chunks(spark, d), table(spark, d, "chunk_limits"), "balanced", context_col="heading_context", with_text=True)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +65,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def _near(spark: SparkSession, d: str):
     from docmill.llm.neardup import near_duplicates
 
-    return near_duplicates(_entries(spark, d), "id", "content", threshold=0.6, shingle=3, min_words=30)
+    return near_duplicates(spread(_entries(spark, d).select("id", "content")), "id", "content", threshold=0.6, shingle=3, min_words=30)
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +78,7 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
 def _lines(spark: SparkSession, d: str):
     from docmill.llm.lines import SourceLines, host_of
 
-    e = _entries(spark, d)
+    e = spread(_entries(spark, d).drop("vector"))
     return SourceLines(e, "id", "content", host_of(F.col("url")), "indexed_at")
 
 
@@ -89,7 +97,7 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.leakage import contained
 
-    return contained(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    return contained(_documents(spark, d), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 def _host(col: str):
@@ -113,19 +121,19 @@ def p3_body(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.quality import text_kinds
 
-    return text_kinds(table(spark, d, "documents")).filter("kind <> 'prose'")
+    return text_kinds(_documents(spark, d)).filter("kind <> 'prose'")
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.quality import text_statistics
 
-    return text_statistics(table(spark, d, "documents"))
+    return text_statistics(_documents(spark, d))
 
 
 def p8_sketches(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.quality import sketches, text_statistics
 
-    return sketches(text_statistics(table(spark, d, "documents")))
+    return sketches(text_statistics(_documents(spark, d)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
