@@ -24,7 +24,7 @@ def test_fixed_cuts_after_sentences():
     assert [t for _, _, t, *_ in C.fixed_pieces("One. Two. Three is long", 12, 0)] == ["One. Two.", " Three is lo", "ng"]
     assert len(C.fixed_pieces("short", 50, 10)) == 1
     # a cut before the overlap creeps on by one character
-    assert [a for a, *_ in C.fixed_pieces("a. " + "b" * 30, 10, 8)][:4] == [0, 1, 3, 5] or C.fixed_pieces("a. " + "b" * 30, 10, 8)[1][0] == 1
+    assert [a for a, *_ in C.fixed_pieces("a. " + "b" * 30, 10, 8)][:3] == [0, 1, 2]
 
 
 def test_paragraphs():
