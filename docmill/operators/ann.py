@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.operators.search import exact_topk, lists_to_matrix
+from docmill.operators.search import batch_topk, exact_topk, lists_to_matrix
 from docmill.schema import AnnParams, SearchOptions
 
 
@@ -89,6 +89,22 @@ class AnnIndex:
         near = self.table.filter(F.col("cell").isin(self.probe(query, probes)))
         return exact_topk(near, query, options, self.id_col, self.vector_col, metric="cosine" if self.params.cosine else "l2")
 
+    def topk_batch(self, queries: DataFrame, k: int, probes: int | None = None, query_id_col: str = "query_id", query_col: str = "vector") -> DataFrame:
+        """(query_id, id, score, rank) of the best k rows by cosine in the cells nearest to each of many queries."""
+        if not self.params.cosine:
+            raise ValueError("queries in batches go by cosine")
+        centres, n = self.centres, min(probes or self.params.probes, len(self.centres))
+
+        def looks(q: np.ndarray) -> np.ndarray:
+            if q.shape[1] != centres.shape[1]:
+                raise ValueError(f"queries of {q.shape[1]} values on vectors of {centres.shape[1]}")
+            score = _unit(q) @ centres.T - (centres**2).sum(1) / 2
+            chosen = np.zeros(score.shape, bool)
+            np.put_along_axis(chosen, np.argsort(-score, axis=1, kind="stable")[:, :n], True, axis=1)
+            return chosen
+
+        return batch_topk(self.table, queries, k, self.id_col, self.vector_col, query_id_col, query_col, cells=("cell", looks))
+
     def stats(self) -> DataFrame:
         """One row: node_count, dimension, cells, largest_cell, mean_cell."""
         each = self.table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ which keeps k rows a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -79,21 +79,23 @@ def exact_topk(df: DataFrame, query: Sequence[float], options: SearchOptions | N
     return hits.orderBy(F.col("score").desc(), F.col(id_col)).limit(max(0, options.limit))
 
 
-def batch_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", query_id_col: str = "query_id", query_col: str = "vector", skip_self: bool = False) -> DataFrame:
+def batch_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", query_id_col: str = "query_id", query_col: str = "vector", skip_self: bool = False, cells: tuple[str, Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the best k rows of each of many queries.
 
     Queries are a stated set; they go over the rows in blocks of QUERY_BYTES. Each Python worker keeps k rows a
-    query, so what is shuffled doesn't grow with the table's rows but with its partitions.
+    query, so what is shuffled doesn't grow with the table's rows but with its partitions. ``cells`` is the column of
+    a row's cell and a function from the matrix of queries to the (query, cell) places to look into; without it all are.
     """
     spark = df.sparkSession
     id_type, q_type = dict(df.dtypes)[id_col], dict(queries.dtypes)[query_id_col]
-    base = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    base = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *([F.col(cells[0]).alias("cell")] if cells else []))
 
     def search(names: list, vectors: list[list[float]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((pa.array(names), np.asarray(vectors, np.float64)))
+        asked = np.asarray(vectors, np.float64)
+        shared = spark.sparkContext.broadcast((pa.array(names), asked, cells[1](asked) if cells else None))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids_of, matrix = shared.value
+            ids_of, matrix, looks = shared.value
             held_score = np.full((len(matrix), k), -np.inf)
             held_row = np.full((len(matrix), k), -1, np.int64)
             held_ids: pa.Array | None = None
@@ -102,7 +104,15 @@ def batch_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
                 if not len(rows):
                     continue
                 ids = b.column(0).take(pa.array(fits))
-                score = np.nan_to_num(scores_of(rows, matrix, "cosine").T, nan=-np.inf)
+                if looks is None:
+                    score = np.nan_to_num(scores_of(rows, matrix, "cosine").T, nan=-np.inf)
+                else:
+                    score = np.full((len(matrix), len(rows)), -np.inf)
+                    cell = b.column(2).to_numpy()[fits]
+                    for c in np.unique(cell):
+                        who, here = np.flatnonzero(looks[:, c]), np.flatnonzero(cell == c)
+                        if len(who):
+                            score[np.ix_(who, here)] = np.nan_to_num(scores_of(rows[here], matrix[who], "cosine").T, nan=-np.inf)
                 if skip_self:
                     same = np.array([[a == x for x in ids.to_pylist()] for a in ids_of.to_pylist()]) if len(ids_of) * len(ids) < 1 << 22 else None
                     if same is None:

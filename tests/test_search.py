@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docmill.operators import ann, bm25, hybrid, search
+from docmill.queries import QUERIES
 from docmill.schema import AnnParams, Bm25Params, HybridOptions, SearchOptions
 
 
@@ -138,3 +141,28 @@ def test_graph(spark):
     assert links.groupBy("src").count().agg(F.max("count")).first()[0] <= 8
     stats = ann.degree_stats(links).first()
     assert stats.nodes == 100 and stats.max_degree <= 8
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_ann_topk(spark, size):
+    folder = Path("/root/testdata") / size
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    exact = {(r.query_id, r.vec_id) for r in QUERIES["vector_topk_batch"](spark, str(folder)).collect()}
+    got = {(r.query_id, r.vec_id) for r in QUERIES["ann_topk"](spark, str(folder)).collect()}
+    assert len(got) == len(exact) and {q for q, _ in got} == {q for q, _ in exact}
+    assert len(got & exact) / len(exact) >= 0.9, len(got & exact) / len(exact)
+    print(size, len(got & exact), "of", len(exact))
+
+
+def test_batches_look_into_the_same_cells(spark):
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    index = ann.build(df, AnnParams(rows_per_cell=50, probes=3))
+    index.table.cache()
+    asked = df.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    got = {}
+    for r in index.topk_batch(asked, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    for r in asked.collect():
+        assert got[r.query_id] == {h.id for h in index.topk(r.vector, SearchOptions(limit=5)).collect()}
