@@ -143,7 +143,7 @@ def host_brand(host: str) -> list[str]:
 
 
 def page_lines(df: DataFrame) -> DataFrame:
-    """(host, block, id, text), whole blocks together -> one row a page with its lines' marks."""
+    """(host, block, key, text), whole blocks together -> one row a text with its lines' marks."""
 
     def block_rows(t: pa.Table) -> Iterator[pa.RecordBatch]:
         texts = [x or "" for x in t.column("text").to_pylist()]
@@ -158,7 +158,7 @@ def page_lines(df: DataFrame) -> DataFrame:
         mark = np.where(support >= max(2, SHARE * pages), STRONG, np.where(support >= max(2, EDGE_SHARE * pages), WEAK, NONE)).astype(np.int8)
         offsets = pa.array(np.concatenate([[0], np.cumsum(s.counts)]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (kind, mark, np.where(usable, name, 0).view(np.int64), s.words.astype(np.int16))]
-        yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array([host] * pages, pa.string()), *lists], ["id", "host", "kind", "mark", "name", "words"])
+        yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), pa.array([host] * pages, pa.string()), *lists], ["key", "host", "kind", "mark", "name", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -175,8 +175,7 @@ def page_lines(df: DataFrame) -> DataFrame:
         if held:
             yield from block_rows(pa.Table.from_batches(held))
 
-    id_type = dict(df.dtypes)["id"]
-    return df.mapInArrow(run, f"id {id_type}, host string, kind array<tinyint>, mark array<tinyint>, name array<long>, words array<smallint>")
+    return df.mapInArrow(run, "key long, host string, kind array<tinyint>, mark array<tinyint>, name array<long>, words array<smallint>")
 
 
 def _last_body(body: np.ndarray, mark: np.ndarray, words: np.ndarray, filled: np.ndarray, inside: np.ndarray) -> int:
@@ -230,35 +229,41 @@ def frame_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "markdow
 
     Lines of only white space are never named. Pages without a host are taken as one host; a null id or
     text takes no part; an empty text has no lines; repeated rows of a page count once. A page without
-    any body is all frame.
+    any body is all frame. Support counts the distinct texts of a host: of exact copies one is looked at, and
+    its lines are those of all.
     """
     source = F.coalesce(host, F.lit("")) if host is not None else F.lit("")
     rows = df.select(F.col(id_col).alias("id"), source.alias("host"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    sizes = cut(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / block_pages).cast("int").alias("blocks")).filter("blocks > 1"))
-    blocked = rows.join(small_side(sizes, sizes.count()), "host", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    together = blocked.repartition("host", "block").sortWithinPartitions("host", "block", "id").select("host", "block", "id", "text")
+    keyed = rows.withColumn("key", F.xxhash64("host", F.xxhash64("text"), F.xxhash64(F.lit(71), F.col("text"))))
+    several = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key", "id"))
+    n_several = several.count()
+    texts = keyed
+    if n_several:
+        held = keyed.drop("id").join(small_side(several, n_several), "key").groupBy("key").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("text").alias("text"))
+        texts = keyed.join(small_side(several.select("key"), n_several), "key", "left_anti").select("key", "id", "host", "text").unionByName(held)
+    sizes = cut(texts.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / block_pages).cast("int").alias("blocks")).filter("blocks > 1"))
+    blocked = texts.join(small_side(sizes, sizes.count()), "host", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    together = blocked.repartition("host", "block").sortWithinPartitions("host", "block", "id").select("host", "block", "key", "text")
     pages = cut(page_lines(together))
-    marks = pages.select("id", "host", F.posexplode(F.arrays_zip("kind", "mark", "name")).alias("at", "l")).select("id", "host", "at", "l.*").filter("name <> 0")
+    marks = pages.select("key", "host", F.posexplode(F.arrays_zip("kind", "mark", "name")).alias("at", "l")).select("key", "host", "at", "l.*").filter("name <> 0")
     # lines that are boilerplate on two hosts, and lines without a sentence that are found on three
     spread = marks.filter((F.col("mark") == STRONG) | (F.col("kind") == PLAIN)).groupBy("name", "host").agg(F.max("mark").alias("mark"), F.min("kind").alias("kind"))
     known = spread.groupBy("name").agg(F.count_if(F.col("mark") == STRONG).alias("strong"), F.count_if(F.col("kind") == PLAIN).alias("plain"))
     known = cut(known.filter("strong >= 2 OR plain >= 3").select("name"))
-    more = marks.filter(F.col("mark") < STRONG).join(small_side(known, known.count()), "name", "left_semi").groupBy("id").agg(F.collect_set("at").alias("more"))
-    whole = pages.select("id", "kind", "mark", "words").join(more, "id", "left")
-    id_type = dict(whole.dtypes)["id"]
+    more = marks.filter(F.col("mark") < STRONG).join(small_side(known, known.count()), "name", "left_semi").groupBy("key").agg(F.collect_set("at").alias("more"))
+    whole = pages.select("key", "kind", "mark", "words").join(more, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, line_no = [], []
-            for i, (kind, mark, words, extra) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True)):
+            lines = []
+            for kind, mark, words, extra in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 mark = np.array(mark, np.int8)
                 mark[extra or []] = STRONG
-                found = np.flatnonzero(frame_of(np.array(kind, np.int8), mark, np.array(words, np.int32))) + 1
-                who += [i] * len(found)
-                line_no += found.tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(line_no, pa.int64())], ["id", "line_no"])
+                lines.append(np.flatnonzero(frame_of(np.array(kind, np.int8), mark, np.array(words, np.int32))) + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.list_(pa.int64()))], ["key", "lines"])
 
-    return whole.mapInArrow(run, f"id {id_type}, line_no long").distinct().withColumnRenamed("id", id_col)
+    of_text = whole.mapInArrow(run, "key long, lines array<long>")
+    return keyed.select("id", "key").join(of_text, "key").select("id", F.explode("lines").alias("line_no")).distinct().withColumnRenamed("id", id_col)
 
 
 def main_body(df: DataFrame, id_col: str = "page_id", text_col: str = "markdown", host: Column | None = None) -> DataFrame:

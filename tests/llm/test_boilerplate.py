@@ -90,3 +90,14 @@ def test_main_body(spark):
 def test_wrapped_paragraphs_are_text():
     classes, goes_on = line_classes(["The first line of a paragraph that is wrapped at some", "forty characters or so."])
     assert goes_on == [False, True]
+
+
+def test_copies_and_repeats_count_once(spark):
+    rows, _ = fixture()
+    alone = found(spark, rows)
+    alpha = [r for r in rows if "alpha" in r[1]]
+    again = [rows[0], rows[0], rows[5], rows[65], rows[65]]  # the same pages again, of a large and of a small host
+    copies = [(2000 + n, *rows[3][1:]) for n in range(len(alpha) // 2)] + [(3000, *rows[66][1:])]  # a third of the host
+    got = found(spark, rows + again + copies)
+    assert {x for x in got if x[0] < 2000} == alone
+    assert {(p, k) for p, k in got if p >= 2000} == {(c, k) for c, o in [(r[0], 3) for r in copies[:-1]] + [(3000, 66)] for p, k in alone if p == o}
