@@ -546,7 +546,9 @@ def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
         return F.concat(F.lit('<a href="/docs/p-'), to.cast("string"), F.lit('">x</a>'))
 
     source = table(spark, d, "extracted").select(F.concat(F.lit("https://site.example/docs/p-"), n.cast("string")).alias("url"), F.concat(F.lit("<main><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1>"), link(n * 2 + 1), link(n * 2 + 2), F.lit("</main>")).alias("html"))
-    found, _ = pages.crawl(source, CrawlConfig("https://site.example/docs/p-0", CrawlMode.FULL, max_depth=4, allowed_domains=frozenset({"site.example"})))
+    last, n_pages = table(spark, d, "extracted").agg(F.max("page_id"), F.count(F.lit(1))).first()
+    depth = ((last or 0) + 1).bit_length()  # page n is floor(log2(n + 1)) links from the first
+    found, _ = pages.crawl(source, CrawlConfig("https://site.example/docs/p-0", CrawlMode.FULL, max_depth=depth, max_pages=max(1, n_pages), allowed_domains=frozenset({"site.example"})))
     return found.select("url", "depth", F.col("page.title").alias("title"))
 
 

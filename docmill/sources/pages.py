@@ -93,9 +93,11 @@ def crawl(pages: DataFrame, config: CrawlConfig) -> tuple[DataFrame, CrawlProgre
     levels: list[DataFrame] = []
     crawled = failed = queued = depth = 0
     while crawled < config.max_pages and depth <= config.max_depth:
-        found = frontier.join(source, "url").orderBy("rank").limit(config.max_pages - crawled)
+        found, left, wanted = frontier.join(source, "url").orderBy("rank"), config.max_pages - crawled, queued or 1
+        if wanted > left:  # a limit gathers what it keeps in one task
+            found = found.limit(left)
         level = cut(found.select("url", "rank", F.lit(depth).alias("depth"), extract_page(F.col("html"), F.col("url")).alias("page")))
-        n, wanted = level.count(), frontier.count()
+        n = level.count()
         crawled += n
         failed += wanted - n if crawled < config.max_pages else 0
         levels.append(level)

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import html as H
+from docmill.queries import QUERIES
 from docmill.schema import CrawlConfig, CrawlMode, UrlPatterns
 from docmill.sources import pages as P
 from docmill.sources.embedder import EmbeddingError, HashingEmbedder, LazyEmbedder, embed_column
@@ -106,3 +108,13 @@ def test_embedders(spark):
     assert LazyEmbedder(lambda: e, 32).embed(["x"]).shape == (1, 32)
     with pytest.raises(EmbeddingError):
         LazyEmbedder(lambda: e, 33).embed(["x"])
+
+
+def test_the_crawl_reaches_every_page(spark):
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    want = {r.page_id for r in spark.read.parquet(f"{folder}/extracted.parquet").select("page_id").collect()}
+    got = [(int(r.url.rsplit("-", 1)[1]), r.depth) for r in QUERIES["crawl_bfs"](spark, str(folder)).collect()]
+    assert len(got) == len(want) > 31 and {n for n, _ in got} == want
+    assert all(depth == (n + 1).bit_length() - 1 for n, depth in got)
