@@ -10,6 +10,7 @@ occurrences to delete are the places of frequent lines.
 
 from __future__ import annotations
 
+import itertools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -89,12 +90,15 @@ class SourceLines:
         at = F.filter(F.transform("keys", lambda x, i: F.when(F.array_contains("frequent", x), (i + 1).cast("long"))), lambda x: x.isNotNull())
         return self.marked().select("id", F.explode(at).alias("line_no"))
 
-    def sequences(self, max_length: int = 3) -> DataFrame:
-        """Frequent sequences (in order, gaps allowed) of up to ``max_length`` lines: source, lines, support."""
+    def sequences(self, max_length: int | None = None) -> DataFrame:
+        """Frequent sequences (in order, gaps allowed) of any length, or of up to ``max_length`` lines: source, lines, support.
+
+        Every part of a frequent sequence is one too: n lines that always come together make 2 ** n - 1 rows.
+        """
         marked = cut(self.marked().select("id", "source", "docs", F.filter("keys", lambda x: F.array_contains("frequent", x)).alias("rest")).filter("size(rest) > 0"))
         level = marked.select("id", "source", "docs", F.array().cast("array<long>").alias("lines"), "rest")
         out = None
-        for depth in range(max_length):
+        for depth in itertools.count():
             grown = level.select("id", "source", "docs", "lines", "rest", F.explode(F.array_distinct("rest")).alias("key"))
             support = grown.groupBy("source", "lines", "key").agg(F.count(F.lit(1)).alias("support"), F.first("docs").alias("docs"))
             support = cut(support.filter((F.col("support") >= self.min_docs) & (F.col("support") >= F.col("docs") * self.min_share)))
@@ -106,7 +110,7 @@ class SourceLines:
             # the projected database: what follows the first match of the grown pattern
             tail = F.expr("slice(rest, cast(array_position(rest, key) as int) + 1, size(rest))")
             kept = grown.join(small_side(support.select("source", "lines", "key"), n), ["source", "lines", "key"], "left_semi")
-            level = kept.select("id", "source", "docs", F.concat("lines", F.array("key")).alias("lines"), tail.alias("rest")).filter("size(rest) > 0")
+            level = cut(kept.select("id", "source", "docs", F.concat("lines", F.array("key")).alias("lines"), tail.alias("rest")).filter("size(rest) > 0"))
         return out
 
     def cleaned(self) -> DataFrame:

@@ -72,3 +72,11 @@ def test_sequences_and_cleaned(spark):
 def test_empty(spark):
     found = lines_of(spark, fixture()[:0] or [("x", None, None)])
     assert found.places().count() == 0 and found.sequences().count() == 0 and found.cleaned().count() == 0
+
+
+def test_sequences_of_any_length(spark):
+    notice = [f"line {c} of a notice that many pages hold" for c in "abcdef"]
+    rows = [(f"a{i}", "https://long.example/", "\n".join([f"Page {chr(97 + i)} is about nothing else", *notice])) for i in range(8)]
+    found = lines_of(spark, rows).sequences().collect()
+    assert len(found) == len({tuple(r.lines) for r in found}) == 2**6 - 1  # every choice of the six, in order
+    assert max(len(r.lines) for r in found) == 6 and {r.support for r in found} == {8}
