@@ -110,32 +110,59 @@ class AnnIndex:
         each = self.table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("node_count"), F.lit(self.dimension).alias("dimension"), F.count(F.lit(1)).alias("cells"), F.max("n").alias("largest_cell"), F.avg("n").alias("mean_cell"))
 
-    def neighbour_graph(self, degree: int = 16, block_rows: int = 2000) -> DataFrame:
-        """(src, dst, distance): links both ways to the nearest rows of the own cell, at most ``2 * degree`` a row.
+    def neighbour_graph(self, degree: int = 16, block_rows: int = 2000, probes: int | None = None) -> DataFrame:
+        """(src, dst, distance): links both ways to the nearest rows, at most ``2 * degree`` a row.
 
-        A cell beyond ``block_rows`` is dealt into blocks by hash; links stay within blocks.
+        Every row asks the ``probes`` cells nearest to it, its own among them. The rows of a cell, and those that ask
+        it, are dealt into blocks of ``block_rows`` by hash; all blocks meet, so a large cell loses nothing.
         """
-        cosine, dim = self.params.cosine, self.dimension
-        id_type = dict(self.table.dtypes)[self.id_col]
-        sizes = self.table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-        placed = self.table.select("cell", F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("v")).join(F.broadcast(sizes), "cell")  # a row a cell
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("cell", "block", "id", "v")
+        cosine, dim, centres = self.params.cosine, self.dimension, self.centres
+        n_cells = min(probes or self.params.probes, len(centres))
+        id_type, v_type = dict(self.table.dtypes)[self.id_col], dict(self.table.dtypes)[self.vector_col]
+        rows = self.table.select("cell", F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("v"))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, _ = lists_to_matrix(b.column(1), dim)
+                x = _unit(x) if cosine else x
+                chosen = np.argsort((centres**2).sum(1) / 2 - x @ centres.T, axis=1, kind="stable")[:, :n_cells]
+                at = pa.array(np.repeat(np.arange(len(x)), n_cells))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(chosen.ravel().astype(np.int32))], ["id", "v", "cell"])
+
+        asking = rows.select("id", "v").mapInArrow(near, f"id {id_type}, v {v_type}, cell int")
+
+        def blocks(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
+        sizes = F.broadcast(blocks(rows, "held").join(blocks(asking, "asked"), "cell"))  # a row a cell
+
+        def dealt(df: DataFrame, mine: str, other: str, asks: bool) -> DataFrame:
+            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+            own = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")
+            return df.join(sizes, "cell").select("cell", own.alias(mine), every.alias(other), "id", "v", F.lit(asks).alias("asks")).select("cell", "held", "asked", "id", "v", "asks")
+
+        placed = dealt(rows, "held", "asked", False).unionByName(dealt(asking, "asked", "held", True))
 
         def link(key: tuple, t: pa.Table) -> pa.Table:
             x, _ = lists_to_matrix(t.column("v").combine_chunks(), dim)
             ids = t.column("id").combine_chunks()
+            asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            to, who = np.flatnonzero(~asks), np.flatnonzero(asks)
             if cosine:
                 u = _unit(x)
-                d = 1.0 - u @ u.T
+                d = 1.0 - u[who] @ u[to].T
             else:
-                d = np.maximum((x**2).sum(1)[:, None] - 2 * (x @ x.T) + (x**2).sum(1)[None, :], 0)
-            np.fill_diagonal(d, np.inf)
-            n = min(degree, len(x) - 1)
-            best = np.argsort(d, axis=1, kind="stable")[:, :n]
-            src = np.repeat(np.arange(len(x)), n)
-            return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(best.ravel())), "distance": pa.array(np.take_along_axis(d, best, 1).ravel())})
-
-        one_way = placed.groupBy("cell", "block").applyInArrow(link, f"src {id_type}, dst {id_type}, distance double")
+                d = np.maximum((x[who] ** 2).sum(1)[:, None] - 2 * (x[who] @ x[to].T) + (x[to] ** 2).sum(1)[None, :], 0)
+            code = ids.dictionary_encode().indices.to_numpy()
+            d[code[who][:, None] == code[to][None, :]] = np.inf  # not to itself
+            best = np.argsort(d, axis=1, kind="stable")[:, :degree]
+            far = np.take_along_axis(d, best, 1)
+            real = far < np.inf
+            src = np.repeat(who, real.sum(axis=1))
+            return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(to[best[real]])), "distance": pa.array(far[real])})
+
+        hits = placed.groupBy("cell", "held", "asked").applyInArrow(link, f"src {id_type}, dst {id_type}, distance double")
+        one_way = prune_links(hits, degree)
         both = one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).dropDuplicates(["src", "dst"])
         return prune_links(both, 2 * degree)
 

@@ -567,16 +567,20 @@ def _index(spark: SparkSession, d: str) -> ann.AnnIndex:
     return ann.build(table(spark, d, "embeddings"), AnnParams(rows_per_cell=100, probes=4), "vec_id", "embedding")
 
 
-#: Share of the cells that a query of ann_topk looks into: the vectors of this table lie in no clusters, so a fixed
+#: Share of the cells that a query of ann_topk, and a row of ann_graph, looks into: the vectors of this table lie in no clusters, so a fixed
 #: number of cells would find ever less of it as it grows.
 PROBE_SHARE = 0.8
 
 
+def _probes(index: ann.AnnIndex) -> int:
+    return max(index.params.probes, math.ceil(PROBE_SHARE * len(index.centres)))
+
+
 @query("ann_topk")
 def ann_topk(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
     q = table(spark, d, "embeddings").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    hits = index.topk_batch(q, 10, max(index.params.probes, math.ceil(PROBE_SHARE * len(index.centres))))
+    hits = index.topk_batch(q, 10, _probes(index))
     return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
@@ -587,9 +591,10 @@ def ann_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ann_graph")
 def ann_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).neighbour_graph()
+    index = _index(spark, d)
+    return index.neighbour_graph(probes=_probes(index))
 
 
 @query("ann_degrees")
 def ann_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return ann.degree_stats(_index(spark, d).neighbour_graph())
+    return ann.degree_stats(ann_graph(spark, d))

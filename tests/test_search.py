@@ -166,3 +166,19 @@ def test_batches_look_into_the_same_cells(spark):
         got.setdefault(r.query_id, set()).add(r.id)
     for r in asked.collect():
         assert got[r.query_id] == {h.id for h in index.topk(r.vector, SearchOptions(limit=5)).collect()}
+
+
+def test_links_of_a_large_cell(spark):
+    x = np.random.default_rng(6).normal(size=(900, 8))
+    x[:300] = x[0] + 0.01 * x[:300]  # a third of all rows near one centre
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    index = ann.build(df, AnnParams(rows_per_cell=200, probes=4))
+    got = {(r.src, r.dst) for r in index.neighbour_graph(8, block_rows=50).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    best = np.argsort(d, axis=1)[:, :8]
+    assert not any(s == t for s, t in got)
+    for lo, hi in ((0, 300), (300, 900)):
+        assert np.mean([(i, j) in got for i in range(lo, hi) for j in best[i]]) >= 0.95
