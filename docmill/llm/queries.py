@@ -106,16 +106,20 @@ def _host(col: str):
     return host_of(F.col(col))
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "extracted").select("page_id", "url", "markdown"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.boilerplate import frame_lines
 
-    return frame_lines(table(spark, d, "extracted"), host=_host("url"))
+    return frame_lines(_pages(spark, d), host=_host("url"))
 
 
 def p3_body(spark: SparkSession, d: str) -> DataFrame:
     from docmill.llm.boilerplate import main_body
 
-    return main_body(table(spark, d, "extracted"), host=_host("url"))
+    return main_body(_pages(spark, d), host=_host("url"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

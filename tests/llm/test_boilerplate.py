@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from docmill.llm.boilerplate import frame_lines, line_classes, main_body
+from docmill.llm.boilerplate import frame_lines, main_body, page_lines, repeated_substrings
 from docmill.llm.lines import host_of
 
 NOUNS = [f"noun{a}{b}" for a in "bcdfgh" for b in "klmnprst"]
@@ -59,11 +61,64 @@ def test_frames_are_found(spark):
     assert {k for p, k in got if p == one} >= {k for p, k in want if p == one and k <= 4}
 
 
-def test_blocks(spark):
-    rows, want = fixture()
-    got = found(spark, rows, block_pages=25)
-    large = {p for p, u, _ in rows if "alpha" in u}
-    assert len({x for x in got if x[0] in large} ^ {x for x in want if x[0] in large}) <= 3
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_blocks_change_nothing(spark, monkeypatch, limit):
+    """Also where the names of repeated substrings are dealt to the blocks rather than broadcast."""
+    rows, _ = fixture()
+    whole = found(spark, rows)
+    monkeypatch.setattr("docmill.llm.boilerplate.BROADCAST_ROWS", limit)
+    for chars in (2_000, 15_000):
+        assert found(spark, rows, block_chars=chars) == whole
+
+
+def test_support_is_that_of_the_whole_host(spark):
+    """A sentence in 5.4 % of a large host's pages is found in all of them, however the pages are dealt."""
+    rng = random.Random(9)
+    notice = "Try the hosted service free for thirty days"
+    rows, want = [], set()
+    for n in range(4000):
+        lines = [f"# {' '.join(rng.choices(NOUNS, k=3))}"] + ["The " + " ".join(rng.choices(NOUNS, k=12)) + " is here." for _ in range(3)]
+        if n < 216:
+            lines.insert(2, notice)
+            want.add((n, 3))
+        rows.append((n, f"https://docs.large.example/p/{n}", "\n".join(lines)))
+    rng.shuffle(rows)
+    assert found(spark, rows, block_chars=20_000) == want == found(spark, rows)
+
+
+def test_substrings_across_and_within_lines(spark):
+    """A notice wrapped in other ways on each page, and one that makes up most of a line."""
+    rng = random.Random(3)
+    notice = "please note that every name on these pages is made up by the people who write them and that none of the products can be bought anywhere at all".split()
+    rows, want = [], set()
+    for n in range(60):
+        top = [f"# {' '.join(rng.choices(NOUNS, k=3))}", "The " + " ".join(rng.choices(NOUNS, k=40)) + " is here.", ""]
+        a = rng.randrange(8, 20)
+        noted = [" ".join(notice[:a]), " ".join(notice[a:])] if n % 2 else [f"{rng.choice(NOUNS)} {rng.choice(NOUNS)}: " + " ".join(notice)]
+        rest = ["", "The " + " ".join(rng.choices(NOUNS, k=40)) + " is here."]
+        want |= {(n, 4 + k) for k in range(len(noted))}
+        rows.append((n, "https://docs.one.example/p", "\n".join(top + noted + rest)))
+    assert found(spark, rows) == want
+
+
+def test_repeated_substrings_by_brute_force():
+    rng = random.Random(2)
+    texts = ["\n".join(" ".join(rng.choices("abcdefgh", weights=[9, 9, 9, 1, 1, 1, 1, 1], k=rng.randrange(1, 9))) for _ in range(6)) for _ in range(30)]
+    x = page_lines(texts, "h")
+    names, pages = repeated_substrings(x, 5, 3)
+    grams = defaultdict(set)
+    for k, t in enumerate(texts):
+        tokens = "/" + "/".join("".join(line.split()) for line in t.split("\n")) + "/."
+        for i in range(len(tokens) - 4):
+            grams[tokens[i : i + 5]].add(k)
+    lines = defaultdict(set)
+    for k, t in enumerate(texts):
+        for line in t.split("\n"):
+            lines[line].add(k)
+    even = sorted(p for n, p in zip(names.tolist(), pages.tolist(), strict=True) if not n & 1)
+    odd = sorted(p for n, p in zip(names.tolist(), pages.tolist(), strict=True) if n & 1)
+    assert even == sorted(len(v) for v in grams.values() if len(v) >= 3)
+    assert odd == sorted(len(v) for v in lines.values() if len(v) >= 3)
 
 
 def test_no_body_nulls_and_repeats(spark):
@@ -88,8 +143,8 @@ def test_main_body(spark):
 
 
 def test_wrapped_paragraphs_are_text():
-    classes, goes_on = line_classes(["The first line of a paragraph that is wrapped at some", "forty characters or so."])
-    assert goes_on == [False, True]
+    x = page_lines(["The first line of a paragraph that is wrapped at some\nforty characters or so."], "h")
+    assert x.goes_on.tolist() == [False, True]
 
 
 def test_copies_and_repeats_count_once(spark):
