@@ -5,7 +5,7 @@ Two ways to choose the cuts over the same boundaries:
 ``greedy``    each piece ends at the last boundary of the strongest kind in the upper half of
               its allowed length (the rule of this project's result ``p1_found``);
 ``balanced``  the minimum number of pieces is computed, equal targets are placed, each is snapped to the
-              strongest nearby boundary, and a piece is added whenever any limit fails.
+              strongest nearby boundary, and a piece is added whenever the limit fails.
 
 Positions are code points. The recurrence of cuts runs within a row; rows are independent, so
 the operator is one narrow pass over Arrow batches without a shuffle.
@@ -79,36 +79,45 @@ def greedy(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
+def _nearest(places: list[int], target: int, low: int, high: int) -> int | None:
+    """The place from ``low`` to ``high`` that is nearest to ``target``, the earlier of two."""
+    k = bisect_right(places, max(low, min(target, high)))
+    near = [p for p in places[max(0, k - 1) : k + 1] if low <= p <= high]
+    return min(near, key=lambda p: abs(p - target)) if near else None
+
+
 def balanced(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """The fewest pieces of nearly equal length: targets at equal distances, each snapped to the
-    strongest boundary within a quarter of a piece (nearest of its kind); one more piece whenever a
-    piece would exceed the limit or not move on."""
+    strongest boundary within a quarter of a piece (nearest of its kind), or else within all that the limit allows.
+
+    Where what is left no longer fits the pieces that were planned, one is added, and the targets that are left are
+    placed anew from there. Only a stretch without any boundary within the limit is cut elsewhere.
+    """
     n, kinds_at = len(text), boundaries(text)
     overlap = min(overlap, limit - 1)
-    pieces = max(1, -(-(n - overlap) // (limit - overlap)))
-    while True:
-        step = (n - overlap) / pieces  # new text in each piece
-        ends, out, s = [], [], 0
-        for i in range(1, pieces):
-            target = round(overlap + i * step)
-            reach = max(1, int(step / 4))
-            low, high = max(target - reach, s + 1), min(target + reach, s + limit, n - 1)
-            e = min(target, s + limit)
-            for places in kinds_at:
-                k = bisect_right(places, target)
-                near = [p for p in places[max(0, k - 1) : k + 1] if low <= p <= high and p - overlap > s]
-                if near:
-                    e = min(near, key=lambda p: abs(p - target))
-                    break
-            ends.append(e)
-            out.append((s, e))
-            s = e - overlap
-        out.append((s, n))
-        if all(0 < b - a <= limit for a, b in out) and all(a[0] < b[0] for a, b in zip(out, out[1:], strict=False)):
-            return out
-        if step <= 1:
-            return greedy(text, limit, overlap)
-        pieces += 1
+    fresh = limit - overlap  # new text that a piece can hold
+    left, s, out = max(1, -(-(n - overlap) // fresh)), 0, []
+    step = (n - overlap) / left
+    target = overlap + step
+    while n - s > limit:
+        if (n - s - overlap) > left * fresh or left < 2:
+            left = max(2, -(-(n - s - overlap) // fresh))
+            step = (n - s - overlap) / left
+            target = s + overlap + step
+        goal = min(round(target), s + limit)
+        first, last, reach = s + overlap + 1, s + limit, max(1, int(step / 4))
+        # a cut before ``least`` would need another piece
+        least = max(first, n - overlap - (left - 1) * fresh)
+        for low, high in ((max(least, goal - reach), min(last, goal + reach)), (max(first, goal - reach), min(last, goal + reach)), (max(first, s + limit // 2), last), (first, last)):
+            e = next((p for places in kinds_at if (p := _nearest(places, goal, low, high)) is not None), None)
+            if e is not None:
+                break
+        else:
+            e = max(first, goal)
+        out.append((s, e))
+        s, left, target = e - overlap, left - 1, target + step
+    out.append((s, n))
+    return out
 
 
 METHODS = {"greedy": greedy, "balanced": balanced}

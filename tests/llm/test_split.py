@@ -3,7 +3,7 @@ from __future__ import annotations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docmill.llm.split import balanced, greedy, split_oversized
+from docmill.llm.split import balanced, boundaries, greedy, split_oversized
 
 TEXT = st.lists(st.sampled_from(["# Head", "word ", "End. ", "\n", "\n\n", "```\n", "~~~\n", "x" * 30, "日本。", "? ", " ", "\t"]), max_size=120).map("".join)
 
@@ -66,6 +66,21 @@ def test_balanced_keeps_limits_and_loses_nothing(text, limit, overlap):
     assert all(c == b - overlap for (_, b), (c, _) in zip(got, got[1:]))
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXT, st.integers(20, 80), st.integers(0, 9))
+def test_balanced_cuts_at_boundaries_within_reach(text, limit, overlap):
+    places = {p for kind in boundaries(text) for p in kind}
+    for s, e in balanced(text, limit, overlap)[:-1]:
+        assert e in places or not any(s + overlap < p <= s + limit for p in places)
+
+
+def test_balanced_is_linear_in_pieces():
+    words = "Each sentence has a few words in it. " * 60_000
+    got = balanced(words, 1000, 200)
+    assert all(words[e - 1] == " " for _, e in got[:-1])
+    assert len(got) <= 1.15 * (len(words) - 200) / 800
+
+
 def test_balanced_pieces_are_even():
     got = balanced("word " * 1000, 1000, 100)
     sizes = [b - a for a, b in got]
