@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.chars import SPACE, Words, codepoints, kinds, lower_map, mix, mix1, run_hashes, slices
+from docmill.llm.chars import SPACE, Words, codepoints, kinds, lower_map, mix, run_hashes, slices
 from docmill.plans.lineage import cut
 from docmill.plans.sizing import BROADCAST_ROWS, small_side
 
@@ -135,7 +135,7 @@ def page_lines(texts: list[str], host: str | None) -> Lines:
     tokens, word_line = tokens[~again], word_line[~again]
     bare = np.flatnonzero(filled & (np.bincount(word_line, minlength=n) == 0))  # lines of symbols only
     if len(bare):
-        marks = np.array([mix1(zlib.crc32(flat[i].strip(_WHITE).encode())) for i in bare.tolist()], np.uint64)
+        marks = mix(np.array([zlib.crc32(flat[i].strip(_WHITE).encode()) for i in bare.tolist()], np.uint64))
         tokens, word_line = np.concatenate([tokens, marks]), np.concatenate([word_line, bare])
         order = np.argsort(word_line, kind="stable")
         tokens, word_line = tokens[order], word_line[order]
@@ -266,7 +266,7 @@ def line_features(line: str) -> list[int]:
     """Hashed features of a line: its symbols, its first and last characters, its first words, its length."""
     bare = line.strip(_WHITE)
     words = bare.split()
-    symbols = {c for c in bare if not c.isalnum() and c != " "}
+    symbols = [c for c in set(bare) if not c.isalnum() and c != " "]
     shape = [f"s{c}" for c in symbols] + [f"n{min(len(words), 12)}", f"l{min(len(bare), 160) // 20}"]
     ends = [f"f{'a' if bare[:1].isalpha() else '0' if bare[:1].isdigit() else bare[:1]}", f"e{'a' if bare[-1:].isalpha() else '0' if bare[-1:].isdigit() else bare[-1:]}", f"u{bare[:1].isupper()}"]
     opening = [f"w{words[0].lower()}", "v" + " ".join(words[:2]).lower()] if words else []
@@ -357,14 +357,20 @@ def frame_of(p: Page, lines: list[str], model: Model) -> np.ndarray:
         at = at[at > top]
         if not len(at):
             break
-        score = np.array([9.0 if inside[i] else model.score(lines[i]) for i in at])
-        for k in range(1, len(at)):  # the rest of a paragraph goes with it
-            if p.tied[at[k]] and at[k] == at[k - 1] + 1:
-                score[k] = max(score[k], score[k - 1])
-        sums = np.cumsum(score)
-        best = int(sums.argmax())
-        if sums[-1] > 0 or sums[best] > SURE or words >= 2 * LONG_RUN:
-            last = int(at[best if sums[best] > 0 else -1])
+        # from the end up: the lines of least sum are the frame's; the search ends where the body is sure
+        end, total, least = len(at), 0.0, 0.0
+        for k in range(len(at) - 1, -1, -1):
+            score = SURE if inside[at[k]] or p.words[at[k]] >= LONG_RUN // 2 else model.score(lines[at[k]])
+            if p.tied[at[k]] and k and at[k] == at[k - 1] + 1:  # the rest of a paragraph goes with it
+                score = max(score, 0.0)
+            total += score
+            if total < least:
+                end, least = k, total
+            if total > least + 4 * SURE:
+                break
+        rest = total - least  # of the lines above the cut that were looked at
+        if rest > SURE or (rest > 0 and least == 0) or words >= 2 * LONG_RUN:
+            last = int(at[end - 1 if end else -1])
             break
     frame[:top] = filled[:top]
     frame[last + 1 :] = filled[last + 1 :]
