@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from docmill.llm.quality import FLOOR, STATS, sketches, statistics, text_kinds, text_statistics
+from docmill.llm.quality import FLOOR, STATS, batch_statistics, known_languages, sketches, statistics, text_kinds, text_statistics
 
 PROSE = {
     "en": "This is a sentence that we wrote for the test, and it is followed by another one. You can read it when you have the time, but there is no need to do so.",
@@ -61,3 +61,31 @@ def test_sketches(spark):
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, (PROSE["en"] + "\n") * 20_000, "en")], "doc_id long, text string, lang string")
     assert text_statistics(df).first().n_words > 500_000
+
+
+OTHER = {
+    "it": "Questa è una frase che abbiamo scritto per la prova, e la frase che segue è più lunga di quella che viene prima. La si può leggere quando si ha il tempo, ma non è una cosa che si deve fare.",
+    "nl": "Dit is een zin die we voor de proef hebben geschreven, en de zin die er op volgt is langer dan de zin die er voor staat. Je kunt de zin lezen als je er de tijd voor hebt, maar het is niet nodig.",
+    "pl": "To jest zdanie, które napisano na próbę, a po nim jest inne zdanie, które nie jest tak długie. Można je czytać, kiedy się ma czas, ale nie jest to coś, co się musi robić, a więc się tego nie robi.",
+}
+
+
+def test_other_languages_are_no_junk(spark):
+    rows = [(i, f"{PROSE[k]} {i}", k) for i, k in enumerate(list(PROSE) * 20)]
+    few = [(1000 + i, t, k) for i, (k, t) in enumerate(OTHER.items())] + [(2000 + i, t, None) for i, t in enumerate(OTHER.values())]
+    junk = [(3000, "xq zvk trw bnm plk jhg fds qwz vbn mlp okj uhy tgb rfv edc wsx qaz plm okn ijb", "it")]
+    got = {r.doc_id: r.kind for r in text_kinds(spark.createDataFrame(rows + few + junk, "doc_id long, text string, lang string")).collect()}
+    assert {got[i] for i, _, _ in few} == {"prose"} and got[3000] == "junk"
+
+
+def test_common_words_of_a_language_are_learnt(spark):
+    df = spark.createDataFrame([(i, f"{OTHER['it']} numero {i}", "IT") for i in range(40)] + [(100, PROSE["en"], "en")], "doc_id long, text string, lang string")
+    assert {r.fits for r in text_statistics(df).filter("doc_id < 100").collect()} == {"it"}
+
+
+def test_a_batch_is_its_texts():
+    texts = [*PROSE.values(), "", " \n", "a b\nc d.\na b", "x" * 300, "word " * 250, *OTHER.values(), "Ã©tÃ© 12 34", "| a | b |\n| - | - |"]
+    langs, columns = batch_statistics(texts, [None] * len(texts), known_languages())
+    for i, t in enumerate(texts):
+        lang, values = statistics(t)
+        assert (lang, values) == (langs[i], pytest.approx(columns[:, i].tolist()))
