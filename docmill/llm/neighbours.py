@@ -1,8 +1,10 @@
 """Problem 5: the k most similar vectors of every vector, by additive quantisation.
 
-Coarse cells (k-means) restrict where a query looks; within a cell a vector is its
+Cells restrict where a query looks: k-means centres, and for tables with more rows than these can serve, each centre
+with each word of a further codebook, so that cells are as many as the rows ask for and hold as many rows at any size.
+Within a cell a vector is its
 cell's centre plus a sum of codewords, one of each full-dimensional residual
-codebook, found by beam search. Scores come from lookup tables: of a query and all
+codebook, in the scale of its centre's residuals (a tight group is resolved like any other), found by beam search. Scores come from lookup tables: of a query and all
 codewords once, added up by code, with the stored norm of each reconstruction.
 The best by these scores are ranked anew on the vectors themselves, in double
 precision.
@@ -30,9 +32,39 @@ SAMPLE_ROWS = 40_000
 
 
 class Model(NamedTuple):
-    centres: np.ndarray  # cells x dim, of unit vectors
+    centres: np.ndarray  # centres x dim, of unit vectors
+    within: np.ndarray  # words x dim: of each centre's cells the places relative to it (one zero word if centres are cells)
+    scale: np.ndarray  # of each centre: root mean square of the residuals that are left in its cells
     books: np.ndarray  # books x words x dim
 
+    def near(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest cells of each row, nearest first: the best pairs of the ``n`` nearest centres and all words.
+
+        A row belongs to the first of its cells. Cells of a centre follow each other in number.
+        """
+        centre = nearest(x, self.centres, min(n, len(self.centres)))
+        words = len(self.within)
+        if words == 1:
+            return centre
+        out = np.empty((len(x), n), np.int64)
+        half = (self.within**2).sum(axis=1) / 2
+        for lo in range(0, len(x), 1024):
+            c = centre[lo : lo + 1024]
+            rest = x[lo : lo + 1024, None, :] - self.centres[c]
+            far = (rest**2).sum(axis=2)[:, :, None] / 2 - rest @ self.within.T + half
+            flat = far.reshape(len(c), -1)
+            part = np.argpartition(flat, n - 1, axis=1)[:, :n]
+            order = np.take_along_axis(part, np.argsort(np.take_along_axis(flat, part, 1), axis=1, kind="stable"), 1)
+            out[lo : lo + 1024] = np.take_along_axis(c, order // words, 1).astype(np.int64) * words + order % words
+        return out
+
+    def place(self, cell: np.ndarray) -> np.ndarray:
+        words = len(self.within)
+        return self.centres[cell // words] + self.within[cell % words]
+
+    def scale_of(self, cell: np.ndarray) -> np.ndarray:
+        return self.scale[cell // len(self.within)]
+
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -88,12 +120,21 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
     return codes, rebuilt
 
 
-def fit(sample: np.ndarray, cells: int, books: int, words: int, rounds: int = 8, seed: int = 5) -> Model:
-    """Centres, then one codebook after the other on what the ones before leave over."""
+def fit(sample: np.ndarray, centres: int, within: int, books: int, words: int, rounds: int = 8, seed: int = 5) -> Model:
+    """Centres, words within them, then one codebook after the other on what the ones before leave over."""
     rng = np.random.Generator(np.random.PCG64(seed))
     x = np.ascontiguousarray(sample, np.float32)
-    centres = _kmeans(x, cells, rounds, rng)
-    rest = x - centres[nearest(x, centres, 1)[:, 0]]
+    middle = _kmeans(x, centres, rounds, rng)
+    at = nearest(x, middle, 1)[:, 0]
+    rest = x - middle[at]
+    places = np.zeros((1, x.shape[1]), np.float32)
+    if within > 1:
+        places = _kmeans(rest, within, rounds, rng)
+        rest = rest - places[nearest(rest, places, 1)[:, 0]]
+    square, counts = np.bincount(at, (rest**2).sum(axis=1), len(middle)), np.bincount(at, minlength=len(middle))
+    # a centre with very few rows in the sample has the scale of all
+    scale = np.sqrt(np.maximum(np.where(counts >= 4, square / np.maximum(1, counts), square.sum() / len(x)), 1e-12)).astype(np.float32)
+    rest = rest / scale[at, None]
     fitted = []
     for _ in range(books):
         book = _kmeans(rest, words, rounds, rng)
@@ -101,7 +142,14 @@ def fit(sample: np.ndarray, cells: int, books: int, words: int, rounds: int = 8,
             book = np.concatenate([book, np.zeros((words - len(book), x.shape[1]), np.float32)])
         rest = rest - book[nearest(rest, book, 1)[:, 0]]
         fitted.append(book)
-    return Model(centres, np.stack(fitted))
+    return Model(middle, places, scale, np.stack(fitted))
+
+
+def cells_wanted(total: int, sample: int, cell_rows: int) -> tuple[int, int]:
+    """(centres, words within a centre): together a cell for each ``cell_rows`` rows; a centre has 8 rows of the sample or more."""
+    wanted = max(1, total // cell_rows)
+    centres = min(wanted, max(1, sample // 8))
+    return centres, min(max(1, sample // 8), -(-wanted // centres))
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
@@ -167,9 +215,9 @@ def nearest_neighbours(
     found = [np.asarray(r.v, np.float64) for r in sample.toLocalIterator()] or [np.ones(dim)]
     x = np.stack(found)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cells = int(min(max(1, total // cell_rows), max(1, len(x) // 8)))
-    shared = spark.sparkContext.broadcast(fit(x, cells, books, words))
-    probes = min(probes, cells)
+    centres, within = cells_wanted(total, len(x), cell_rows)
+    shared = spark.sparkContext.broadcast(fit(x, centres, within, books, words))
+    probes = min(probes, centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -178,22 +226,21 @@ def nearest_neighbours(
                 continue
             v = _matrix(b.column(1), dim)
             unit = (v / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-            cell = nearest(unit, model.centres, probes)
-            codes, rebuilt = encode(unit - model.centres[cell[:, 0]], model.books, beam)
-            norm = np.linalg.norm(model.centres[cell[:, 0]] + rebuilt, axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) * probes + 1, probes, dtype=np.int32)), pa.array(cell.ravel()))
+            cell = model.near(unit, probes)
+            place, scale = model.place(cell[:, 0]), model.scale_of(cell[:, 0])[:, None]
+            codes, rebuilt = encode((unit - place) / scale, model.books, beam)
+            norm = np.linalg.norm(place + scale * rebuilt, axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) * probes + 1, probes, dtype=np.int32)), pa.array(cell.ravel().astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], ["id", "v", "cells", "codes", "norm"])
 
-    index = cut(rows.mapInArrow(assign, "id string, v array<float>, cells array<int>, codes binary, norm float"))
-    sizes = index.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")).filter("blocks > 1")
-    blocks = {r.cell: r.blocks for r in sizes.toLocalIterator()}  # at most one entry a cell, and cells are bounded by the sample
-    of_cell = F.lit(1)
-    if blocks:
-        table = F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))
-        of_cell = F.coalesce(table[F.col("cell")], F.lit(1))
-    members = index.select(F.col("cells")[0].alias("cell"), "id", "v", "codes", "norm").withColumn("block", F.pmod(F.xxhash64("id"), of_cell).cast("int"))
+    index = cut(rows.mapInArrow(assign, "id string, v array<float>, cells array<long>, codes binary, norm float"))
+    sizes = cut(index.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")).filter("blocks > 1"))
+    large = small_side(sizes, sizes.count())  # at most a row for each ``block_rows`` rows
+    of_cell = F.coalesce("blocks", F.lit(1))
+    placed = index.select(F.col("cells")[0].alias("cell"), "id", "v", "codes", "norm").join(large, "cell", "left")
+    members = placed.withColumn("block", F.pmod(F.xxhash64("id"), of_cell).cast("int")).drop("blocks")
     members = members.withColumn("asks", F.lit(True))
-    asking = index.select("id", "v", F.posexplode("cells").alias("nth", "cell")).withColumn("blocks", of_cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = index.select("id", "v", F.posexplode("cells").alias("nth", "cell")).join(large, "cell", "left").withColumn("blocks", of_cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     home = F.pmod(F.xxhash64("id"), F.col("blocks"))
     # in its own cell and block a member asks without a second copy
     visitors = asking.filter((F.col("nth") > 0) | (F.col("block") != home)).select("cell", "id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).cast("float").alias("norm"), F.col("block").cast("int").alias("block"), F.lit(True).alias("asks"))
@@ -207,7 +254,8 @@ def nearest_neighbours(
         own = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
         if not len(own):
             return
-        centre = model.centres[t.column("cell")[0].as_py()]
+        cell = np.array([t.column("cell")[0].as_py()])
+        centre, scale = model.place(cell)[0], float(model.scale_of(cell)[0])
         code = np.frombuffer(b"".join(codes.take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1)
         norm = t.column("norm").to_numpy()[own]
         unit = v.astype(np.float64)
@@ -217,7 +265,7 @@ def nearest_neighbours(
         keep = min(rerank, len(own))
         for lo in range(0, len(v), 256):
             q = unit[lo : lo + 256]
-            look = np.einsum("qd,mwd->mqw", q.astype(np.float32), model.books, optimize=True)
+            look = scale * np.einsum("qd,mwd->mqw", q.astype(np.float32), model.books, optimize=True)
             score = np.repeat((q @ centre)[:, None].astype(np.float32), len(own), axis=1)
             for m in range(code.shape[1]):
                 score += look[m][:, code[:, m]]
@@ -242,8 +290,8 @@ def nearest_neighbours(
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([*held, b])
-            key = t.column("cell").to_numpy() * np.int64(1 << 32) + t.column("block").to_numpy()
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            cell, block = t.column("cell").to_numpy(), t.column("block").to_numpy()
+            starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1])))
             for i, j in zip(starts[:-1], starts[1:], strict=True):
                 yield from search(t.slice(i, j - i))
             held = t.slice(starts[-1]).to_batches()

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from docmill.llm.neighbours import encode, fit, nearest_neighbours
+from docmill.llm.neighbours import cells_wanted, encode, fit, nearest_neighbours
 
 
 def clustered(n=1200, dim=16, seed=2):
@@ -72,7 +72,38 @@ def test_small_tables(spark):
 
 def test_beam_search_is_no_worse_than_greedy():
     x = clustered(500)
-    model = fit(x, 1, 4, 16)
-    rest = x - model.centres[0]
+    model = fit(x, 1, 1, 4, 16)
+    rest = (x - model.centres[0]) / model.scale[0]
     errors = [((rest - encode(rest, model.books, b)[1]) ** 2).sum() for b in (1, 8)]
     assert errors[1] <= errors[0]
+
+
+def test_cells_grow_with_the_rows():
+    """Rows a cell, and so the copies that a query's probes make, stay as they are while the sample stays as large."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 16))
+    means = []
+    for n in (10_000, 100_000, 1_000_000):
+        x = (centres[rng.integers(0, 300, n)] + 0.4 * rng.normal(size=(n, 16))).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        many, within = cells_wanted(n, 2000, 100)
+        assert many <= 250 and many * within >= n // 100
+        counts = np.bincount(fit(x[:2000], many, within, 2, 16).near(x, 4)[:, 0])
+        means.append((counts**2).sum() / n)  # rows of the cell of a row, on average
+    assert max(means) < 8 * min(means)  # of a hundred times as many rows
+
+
+def test_recall_with_words_within_centres(spark):
+    x = clustered(3000)
+    got = nearest_neighbours(table(spark, x), dim=16, cell_rows=50, rerank=60, probes=8, sample_rows=160).collect()
+    assert recall(got, x, 10) >= 0.9
+
+
+def test_a_tight_group_of_different_vectors(spark):
+    """A third of all rows within a small ball: its codes are in its own scale."""
+    x = clustered(900)
+    x[300:600] = x[300] + 0.003 * np.random.default_rng(4).normal(size=(300, 16))
+    got = nearest_neighbours(table(spark, x), dim=16, cell_rows=100, rerank=60).collect()
+    want = exact(x, 10)
+    found = {(r.id, r.other) for r in got}
+    assert np.mean([(f"v{i:05}", f"v{j:05}") in found for i in range(300, 600) for j in want[i]]) >= 0.9
