@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from docmill.functions import text as X
 from docmill.operators import chunking, lifecycle
 from docmill.operators.ann import AnnIndex, build
+from docmill.operators.bm25 import Bm25Index, keep
+from docmill.operators.dedup import current
 from docmill.operators.hybrid import hybrid_topk
 from docmill.operators.quantizer import Quantizer
 from docmill.operators.search import exact_topk, filtered, named_content_type, result_rows, with_documents
@@ -43,6 +45,7 @@ class DocTools:
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, pages: DataFrame | None = None, project: ProjectInfo | None = None):
         self.spark, self.store, self.pages, self.project = spark, Store(spark, path), pages, project
         self.embedder = embedder or HashingEmbedder()
+        self.on_progress = None  # called with the progress of a crawl at each step
         self.store.metadata()  # a store that can't be read is an error here, not an empty store
 
     def search_docs(self, query: str, limit: int = 5, source_filter: str | None = None, content_type: str | None = None) -> list[dict]:
@@ -50,24 +53,25 @@ class DocTools:
         kind = named_content_type(content_type)
         if content_type and not kind:
             warnings.warn(f"content type {content_type!r} is unknown and sets no filter", stacklevel=2)
-        docs = self.store.documents()
+        docs = current(self.store.documents())
         vector = self.embedder.embed([query])[0].tolist()
         hits = exact_topk(docs, vector, SearchOptions(limit=limit, source_filter=source_filter, content_type=kind))
         rows = result_rows(with_documents(hits, docs)).orderBy(F.col("score").desc(), "id").limit(limit)
         return [r.asDict() for r in rows.collect()]
 
-    def list_docs(self) -> dict:
-        """total_documents, sources {url: documents}, project_context."""
-        counts = {r.source: r.documents for r in lifecycle.list_sources(self.store.documents()).toLocalIterator()}
+    def list_docs(self, limit: int = 1000, after: str | None = None) -> dict:
+        """total_documents, total_sources, sources {url: documents} in order, ``limit`` of them after the source ``after``, project_context."""
+        listed = lifecycle.list_sources(self.store.documents())
+        whole = listed.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.count(F.lit(1)).alias("sources")).first()
+        page = listed if after is None else listed.filter(F.col("source") > after)
+        counts = {r.source: r.documents for r in page.orderBy("source").limit(limit).collect()}
         p = self.project
-        return {"total_documents": sum(counts.values()), "sources": counts, "project_context": {"is_project": p.is_project, "project_name": p.project_name, "project_root": str(p.project_root) if p.project_root else None} if p else None}
+        return {"total_documents": whole.documents, "total_sources": whole.sources, "sources": counts, "project_context": {"is_project": p.is_project, "project_name": p.project_name, "project_root": str(p.project_root) if p.project_root else None} if p else None}
 
     def _crawl(self, url: str, mode: str, focus: str, max_pages: int) -> tuple[DataFrame, dict]:
         config = CrawlConfig(start_url=url, mode=_enum(CrawlMode, mode, "mode"), focus=_enum(Focus, focus, "focus"), max_pages=max_pages)
-        pages = self.pages
-        if pages is None:  # only the start page can be known beforehand
-            pages = fetch(self.spark.createDataFrame([(url,)], "url string"), config)
-        found, progress = crawl(pages, config)
+        pages = self.pages if self.pages is not None else lambda urls: fetch(urls, config)
+        found, progress = crawl(pages, config, self.spark, self.on_progress)
         return documents_of(found, self.embedder), {"status": "success" if progress.crawled else "failed", "source_url": url, "mode": mode, "pages_crawled": progress.crawled}
 
     def crawl_docs(self, url: str, mode: str = "single", focus: str = "all", max_pages: int = 100) -> dict:
@@ -87,7 +91,7 @@ class DocTools:
                 raise InvalidParams("delete needs a target")
             if dry_run:
                 return {"operation": "delete", "dry_run": True, "target": target} | lifecycle.dry_run(docs, lifecycle.is_source(target)).first().asDict()
-            removed = self.store.rewrite(lambda e: e.filter(X.source_of(url) != target))
+            removed = self.store.rewrite(lambda e: e.filter(X.source_of(url) != target), target)
             return {"operation": "delete", "target": target, "removed": removed, "remaining": self.store.count()}
         if operation == "expire":
             age, at = DEFAULT_MAX_AGE_DAYS if max_age_days is None else max_age_days, now or datetime.now(timezone.utc)
@@ -104,7 +108,7 @@ class DocTools:
             fresh, out = self._crawl(target, crawl_mode, crawl_focus, max_pages)
             if not out["pages_crawled"]:
                 return {"operation": "refresh", "target": target, "status": "failed", "removed": 0, "documents_created": 0, "net_change": 0}
-            change = -self.store.rewrite(lambda e: e.filter(X.source_of(url) != target).unionByName(fresh))
+            change = -self.store.rewrite(lambda e: e.filter(X.source_of(url) != target).unionByName(fresh), target)
             return {"operation": "refresh", "target": target, "status": "success", "removed": old, "documents_created": change + old, "net_change": change}
         raise InvalidParams(f"unknown operation {operation!r}; one of delete, expire, refresh")
 
@@ -117,6 +121,7 @@ class DocService:
         self.embedder, self.strategy, self.ann = embedder or HashingEmbedder(), strategy or HeadingBased(), ann
         self.quantization = quantization
         self._index: AnnIndex | None = None
+        self._keywords: tuple[tuple[str, ...], Bm25Index] | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, **options) -> DocService:
@@ -151,23 +156,40 @@ class DocService:
 
     def search(self, query: str, limit: int = 10, min_score: float = 0.1) -> DataFrame:
         """Documents by hybrid ranking, best first."""
-        docs = self.store.documents()
+        docs = self.documents()
         options = HybridOptions(base=SearchOptions(limit=limit, min_score=min_score))
-        hits = hybrid_topk(docs, self.embedder.embed([query])[0].tolist(), query, options)
+        hits = hybrid_topk(docs, self.embedder.embed([query])[0].tolist(), query, options, self.keyword_index())
         return with_documents(hits, docs).orderBy(F.col("combined_score").desc(), "id").limit(limit)
 
     def vector_search(self, vector: list[float], options: SearchOptions | None = None) -> DataFrame:
         """(id, score) through the index if there is one, else exactly."""
-        docs = self.store.documents()
+        docs = self.documents()
         if self.ann is None:
             return exact_topk(docs, vector, options)
         return AnnIndex(filtered(self.index().table, options or SearchOptions()), self.index().centres, self.ann).topk(vector, SearchOptions(limit=(options or SearchOptions()).limit, min_score=(options or SearchOptions()).min_score))
 
     def index(self) -> AnnIndex:
         if self._index is None:
-            self._index = build(self.store.documents().select("id", "vector", "url", "content_type"), self.ann)
+            self._index = build(self.documents().select("id", "vector", "url", "content_type"), self.ann)
         return self._index
 
+    def documents(self) -> DataFrame:
+        """The store's documents, of repeated ids the one that was indexed last."""
+        return current(self.store.documents())
+
+    def keyword_index(self) -> Bm25Index:
+        """The keyword index of the store's present state, kept beside it; built when the state is a new one."""
+        m = self.store.create()
+        if self._keywords is None or self._keywords[0] != m.folders:
+            path = f"{self.store.path}/keywords-{m.number:012d}"
+            self._keywords = (m.folders, keep(self.documents(), path))
+        return self._keywords[1]
+
+    def remove_document(self, value: str) -> int:
+        """Take out the entries of an id."""
+        self._index = None
+        return self.store.remove(value)
+
     def index_stats(self) -> str | None:
         if self.ann is None:
             return None
@@ -189,7 +211,7 @@ class DocService:
 
     def remove_source(self, source: str) -> int:
         self._index = None
-        return self.store.rewrite(lambda e: e.filter(X.source_of(F.col("document.url")) != source))
+        return self.store.rewrite(lambda e: e.filter(X.source_of(F.col("document.url")) != source), source)
 
     def remove_older(self, max_age_days: int, now: datetime | None = None) -> int:
         self._index = None

@@ -87,7 +87,12 @@ def to_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import numpy as np
 
     for s in batches:
-        yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+        known = s[s.notna()]
+        flat = np.concatenate([np.empty(0, "<f4"), *known.to_numpy()]).astype("<f4").tobytes()
+        ends = np.cumsum([len(v) for v in known]).astype(int) * 4
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        out[known.index] = pd.Series([flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], index=known.index, dtype=object)
+        yield out
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

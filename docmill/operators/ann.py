@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.operators.search import batch_topk, exact_topk, lists_to_matrix
 from docmill.schema import AnnParams, SearchOptions
@@ -53,20 +54,17 @@ class AnnIndex:
     def assigned(self, df: DataFrame) -> DataFrame:
         """The rows with their cell; a vector of another dimension is an error, a null one takes no part."""
         centres, cosine, dim = self.centres, self.params.cosine, self.dimension
-        id_type = dict(df.dtypes)[self.id_col]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x, fits = lists_to_matrix(b.column(1), dim)
+                x, fits = lists_to_matrix(b.column(at), dim)
                 if len(fits) < b.num_rows:
                     raise ValueError(f"a vector hasn't {dim} values")
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_cells(_unit(x) if cosine else x, centres).astype(np.int32))], ["id", "v", "cell"])
+                cell = pa.array(_cells(_unit(x) if cosine else x, centres).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, cell], [*b.schema.names, "cell"])
 
-        rest = [c for c in df.columns if c not in (self.id_col, self.vector_col)]
-        rows = df.filter(F.col(self.vector_col).isNotNull())
-        placed = rows.select(F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("v")).mapInArrow(run, f"id {id_type}, v {dict(df.dtypes)[self.vector_col]}, cell int")
-        placed = placed.select(F.col("id").alias(self.id_col), F.col("v").alias(self.vector_col), "cell")
-        return placed if not rest else placed.join(df.select(self.id_col, *rest), self.id_col)
+        at = df.columns.index(self.vector_col)
+        return df.filter(F.col(self.vector_col).isNotNull()).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())]))
 
     def add(self, df: DataFrame) -> AnnIndex:
         """An index with further rows; an id that is there already, or twice among the new, is an error."""

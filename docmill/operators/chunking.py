@@ -186,6 +186,17 @@ def numbered(df: DataFrame, by: str = "id", order: str = "n") -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
 
 
+def first_contents(rows: DataFrame, across: bool) -> DataFrame:
+    """Of chunks with equal contents the first, in each document or in all of them.
+
+    Within a document it is a window, for which chunks that lie by document need no further shuffle.
+    """
+    if across:
+        return first_of_each(rows, F.struct("content_hash"), ["id", "n"])
+    rank = F.row_number().over(Window.partitionBy("id", "content_hash").orderBy("n"))
+    return rows.withColumn("_nth", rank).filter("_nth = 1").drop("_nth")
+
+
 def chunk(df: DataFrame, strategy: ChunkStrategy, id_col: str = "id", text_col: str = "content", across: bool = False) -> DataFrame:
     """(id, position, content, heading, heading_context, has_code, content_hash, start_char, end_char).
 
@@ -196,8 +207,8 @@ def chunk(df: DataFrame, strategy: ChunkStrategy, id_col: str = "id", text_col:
         return crawl_chunks(df, strategy, id_col, text_col, across)
     rows = cut(df, strategy, id_col, text_col).withColumn("content", X.trim(F.col("content"))).filter("content <> ''")
     rows = rows.withColumn("content_hash", X.content_hash(F.col("content")))
-    key = F.struct("content_hash") if across else F.struct("id", "content_hash")
-    kept = numbered(first_of_each(rows, key, ["id", "n"]))
+    rows = rows if across else rows.repartition("id")
+    kept = numbered(first_contents(rows, across))
     out = kept.select("id", F.col("position").cast("long").alias("position"), "content", "heading", "heading_context", X.has_code(F.col("content")).alias("has_code"), "content_hash", "start_char", "end_char")
     return out.withColumnRenamed("id", id_col)
 
@@ -247,7 +258,6 @@ def crawl_chunks(df: DataFrame, strategy: CrawlChunks | None = None, id_col: str
     lapped = lapped.withColumn("content_hash", X.normalized_hash(F.col("content")))
     if seen is not None:
         lapped = lapped.join(seen.select(F.col("hash").alias("content_hash")), "content_hash", "left_anti")
-    key = F.struct("content_hash") if across else F.struct("id", "content_hash")
-    kept = numbered(first_of_each(lapped, key, ["id", "n"]))
+    kept = numbered(first_contents(lapped, across))
     out = kept.select("id", F.col("position").cast("long").alias("position"), "content", "heading", "heading_context", "has_code", "content_hash", "start_char", "end_char")
     return out.withColumnRenamed("id", id_col)

@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.operators.dedup import latest
 from docmill.schema import CONTENT_TYPE_NAMES, SearchOptions
 
 #: Bytes of query vectors in one block of a batched search.
@@ -114,14 +116,9 @@ def batch_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
                         if len(who):
                             score[np.ix_(who, here)] = np.nan_to_num(scores_of(rows[here], matrix[who], "cosine").T, nan=-np.inf)
                 if skip_self:
-                    same = np.array([[a == x for x in ids.to_pylist()] for a in ids_of.to_pylist()]) if len(ids_of) * len(ids) < 1 << 22 else None
-                    if same is None:
-                        at = {x: i for i, x in enumerate(ids.to_pylist())}
-                        for qi, x in enumerate(ids_of.to_pylist()):
-                            if x in at:
-                                score[qi, at[x]] = -np.inf
-                    else:
-                        score[same] = -np.inf
+                    row = pc.index_in(ids_of, value_set=ids)
+                    own = np.flatnonzero(row.is_valid().to_numpy(zero_copy_only=False))
+                    score[own, row.drop_null().to_numpy()] = -np.inf
                 offset = 0 if held_ids is None else len(held_ids)
                 pool = ids if held_ids is None else pa.concat_arrays([held_ids, ids])
                 both = np.concatenate([held_score, score], axis=1)
@@ -155,8 +152,11 @@ def batch_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
 
 
 def with_documents(hits: DataFrame, docs: DataFrame, id_col: str = "id") -> DataFrame:
-    """Hits with their documents' columns; ids without a document drop out. Hits are k rows, so they are broadcast."""
-    return docs.join(F.broadcast(hits), id_col)
+    """Hits with their documents' columns; ids without a document drop out. Hits are k rows, so they are broadcast.
+
+    An id has one document: of repeated ids the row that is indexed last (where the documents say when).
+    """
+    return latest(docs.join(F.broadcast(hits), id_col), id_col)
 
 
 def result_rows(hits: DataFrame) -> DataFrame:

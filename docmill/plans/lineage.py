@@ -8,6 +8,7 @@ sessions, tests) a folder of our own is used.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, write it to the checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables, beside the checkpoints in the shared folder."""
+    return f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"

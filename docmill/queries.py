@@ -17,6 +17,7 @@ from docmill.functions import text as X
 from docmill.functions import vectors as V
 from docmill.functions.html import extract_page
 from docmill.operators import ann, bm25, chunking, dedup, hybrid, lifecycle, quantizer, search
+from docmill.plans.lineage import scratch
 from docmill.plans.tables import spread, table
 from docmill.schema import AnnParams, Bm25Params, CrawlChunks, CrawlConfig, CrawlMode, FixedSize, HeadingBased, HybridOptions, SearchOptions, Semantic, UrlPatterns
 from docmill.sources import pages
@@ -165,6 +166,17 @@ def result_projection(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round("score", 5).alias("score"), F.substring("content", 1, 100).alias("content"), F.get_json_object("metadata", "$.content_type").alias("content_type"))
 
 
+_CUR = "(SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1)"
+
+
+@query("search_docs_entries", f"SELECT id, score, left(c, 100) AS content FROM (SELECT id, round({_ECOS}, 5) AS score, {_ECOS} AS s, document.content AS c FROM {_CUR} WHERE {_FIT} ORDER BY s DESC, id LIMIT 10)")
+def search_docs_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The search tool's rows over entries as they were delivered, some of them twice."""
+    e = dedup.current(flat_entries(spark, d))
+    rows = search.with_documents(search.exact_topk(e, _entry_vector(spark, d), SearchOptions(limit=10)), e)
+    return rows.select("id", F.round("score", 5).alias("score"), F.substring("content", 1, 100).alias("content"))
+
+
 # keywords
 
 _EDGE = r"(?:[^\p{L}\p{M}\p{N}]|\p{Inherited})+"
@@ -180,6 +192,13 @@ def _docs_index(spark: SparkSession, d: str) -> bm25.Bm25Index:
     return bm25.build_index(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+@query("bm25_kept", _BM + "SELECT id, round(s, 5) AS score FROM scores ORDER BY s DESC, id LIMIT 20")
+def bm25_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The same by an index that is stored and read again: postings by term."""
+    index = bm25.keep(spread(table(spark, d, "documents").select("doc_id", "text")), f"{scratch(spark)}/bm25", "doc_id", "text")
+    return bm25.keyword_topk(index, WORDS, 20).select("id", F.round("score", 5).alias("score"))
+
+
 @query("tokenize_counts", f"SELECT doc_id, len(coalesce({_TOK}, [])) AS tokens, len(list_distinct(coalesce({_TOK}, []))) AS terms FROM documents")
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     t = F.coalesce(X.tokenize(F.col("text")), F.array().cast("array<string>"))
@@ -264,6 +283,20 @@ def service_search(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, HybridOptions(base=SearchOptions(min_score=0.1)))
 
 
+_HE = (
+    _HY.replace("SELECT doc_id AS id, coalesce(", "SELECT id, coalesce(").replace("FROM documents JOIN embeddings ON doc_id = vec_id)", "FROM (SELECT id, document.content AS text FROM cur))")
+    .replace(f"SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {_Q}) AS v FROM embeddings JOIN documents ON doc_id = vec_id ORDER BY", f"SELECT id, {_ECOS} AS v FROM cur WHERE {_FIT} ORDER BY")
+    .replace("WITH docs", f"WITH cur AS {_CUR}, docs", 1)
+)
+
+
+@query("service_search_entries", _HE + _HOUT + "(SELECT * FROM f WHERE id IN (SELECT id FROM v WHERE v >= 0.1) OR c >= 0.1) ORDER BY c DESC, id LIMIT 10")
+def service_search_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search over entries as they were delivered."""
+    e = dedup.current(flat_entries(spark, d))
+    return _rounded(hybrid.hybrid_topk(e, _entry_vector(spark, d), WORDS, HybridOptions(base=SearchOptions(min_score=0.1))))
+
+
 # catalogue and lifecycle
 
 _LOCAL = "CASE WHEN coalesce(document.url, '') = '' THEN 'local' ELSE document.url END"
@@ -339,19 +372,21 @@ def dequantize_error(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round(worst, 6).alias("error"))
 
 
-@query("raw_codec", "SELECT vec_id, 256 AS bytes, true AS same FROM embeddings")
+@query("raw_codec", "SELECT vec_id, 4 * len(embedding) AS bytes, round(list_sum(embedding::DOUBLE[]), 5) AS total, round(embedding[7]::DOUBLE, 6) AS seventh FROM embeddings")
 def raw_codec(spark: SparkSession, d: str) -> DataFrame:
     raw = V.to_bytes(F.col("embedding"))
-    return table(spark, d, "embeddings").select("vec_id", F.octet_length(raw).alias("bytes"), (V.from_bytes(raw) == F.col("embedding")).alias("same"))
+    return table(spark, d, "embeddings").select("vec_id", F.octet_length(raw).alias("bytes"), V.from_bytes(raw).alias("v")).select("vec_id", "bytes", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"), F.round(F.col("v")[6].cast("double"), 6).alias("seventh"))
 
 
-@query("quantized_topk")
+@query("quantized_topk", f"""WITH r AS (SELECT vec_id, list(code / 255.0::DOUBLE * (high - low) + low ORDER BY dim) AS v FROM ({_CODES}) GROUP BY 1), k AS (SELECT vec_id FROM r ORDER BY list_cosine_similarity(v, {_Q}) DESC, vec_id LIMIT 40)
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 5) AS score FROM embeddings WHERE vec_id IN (FROM k) ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}) DESC, vec_id LIMIT 10""")
 def quantized_topk(spark: SparkSession, d: str) -> DataFrame:
     """Search on decoded codes, an extension: the best 40 by codes, ranked anew on the vectors."""
     e, q = table(spark, d, "embeddings"), _query_vector(spark, d)
     codec = quantizer.Quantizer().fit(e, "embedding")
     rough = search.exact_topk(e.select("vec_id", codec.decode(codec.encode(F.col("embedding"))).alias("v")), q, SearchOptions(limit=40), "vec_id", "v")
-    return search.exact_topk(e.join(F.broadcast(rough.select("vec_id")), "vec_id", "left_semi"), q, id_col="vec_id", vector_col="embedding")
+    best = search.exact_topk(e.join(F.broadcast(rough.select("vec_id")), "vec_id", "left_semi"), q, id_col="vec_id", vector_col="embedding")
+    return best.select("vec_id", F.round("score", 5).alias("score"))
 
 
 # texts
@@ -457,10 +492,10 @@ def split_headers(spark: SparkSession, d: str) -> DataFrame:
     return headed.groupBy("id").agg(F.count(F.lit(1)).alias("headings"))
 
 
-@query("split_paragraphs", f"SELECT id, len(list_filter(string_split(document.content, chr(10) || chr(10)), lambda p: {_trim('p')} <> '')) AS paragraphs FROM entries")
+@query("split_paragraphs", f"SELECT id, unnest(range(0, len(p))) AS n, unnest(list_transform(p, lambda x: md5(x))) AS digest FROM (SELECT id, list_filter(string_split(document.content, chr(10) || chr(10)), lambda x: {_trim('x')} <> '') AS p FROM entries)")
 def split_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    n = X.split_paragraphs(F.col("content"))
-    return flat_entries(spark, d).select("id", F.when(n.isNotNull(), F.size(n)).alias("paragraphs"))
+    parts = flat_entries(spark, d).select("id", F.posexplode(X.split_paragraphs(F.col("content"))).alias("n", "part"))
+    return parts.select("id", F.col("n").cast("long").alias("n"), F.md5("part").alias("digest"))
 
 
 @query("chunk_tags", "SELECT chunk_id, [CASE WHEN has_code THEN 'has-code' ELSE 'no-code' END, 'chunk-' || row_number() OVER w || '-of-' || count(*) OVER (PARTITION BY entry_id)] AS tags, source || '_chunk_' || (row_number() OVER w - 1) AS name FROM chunks WINDOW w AS (PARTITION BY entry_id ORDER BY position, chunk_id)")
@@ -537,7 +572,9 @@ def url_admission(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", pages.admitted(u).alias("admitted"), pages.host(u).alias("host"))
 
 
-@query("crawl_bfs")
+@query("crawl_bfs", f"""WITH RECURSIVE p AS (SELECT page_id AS n, {_trim("coalesce(title, '')")} AS title FROM extracted),
+c AS (SELECT n, 0 AS depth FROM p WHERE n = 0 UNION ALL SELECT p.n, depth + 1 FROM c JOIN p ON p.n = 2 * c.n + 1 OR p.n = 2 * c.n + 2)
+SELECT 'https://site.example/docs/p-' || n AS url, depth, CASE WHEN title = '' THEN 'Untitled Document' ELSE title END AS title FROM c JOIN p USING (n)""")
 def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
     """Breadth-first over pages that link to the one and the two next on one host."""
     n = F.col("page_id")
@@ -584,6 +621,14 @@ def ann_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
+@query("ann_entries_stats", f"SELECT count(*) AS node_count, 64 AS dimension FROM {_CUR} WHERE {_FIT} AND len(vector) = 64")
+def ann_entries_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Size of an index over entries as they were delivered: an id is one node."""
+    v = F.col("vector")
+    e = dedup.current(flat_entries(spark, d)).filter((F.size(v) == 64) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+    return ann.build(e, AnnParams(rows_per_cell=100)).stats().select("node_count", "dimension")
+
+
 @query("ann_stats")
 def ann_stats(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).stats()

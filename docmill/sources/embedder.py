@@ -13,6 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
 class EmbeddingError(RuntimeError):
     """A model that can't be loaded or used."""
 
@@ -32,11 +35,17 @@ class HashingEmbedder:
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            words = re.findall(r"[^\W_]+", (text or "").lower())
-            for w in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-                h = zlib.crc32(w.encode())
-                row[h % self.dimension] += 1.0 if h >> 31 else -1.0
+        words = [_WORD.findall((text or "").lower()) for text in texts]
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        code, distinct = pd.factorize(np.array([w for text in words for w in text], object)) if len(row) else (np.empty(0, np.int64), [])
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        both, pairs = pd.factorize(code[pair] * np.int64(len(distinct) + 1) + code[pair + 1])
+        # a hash for each distinct word and pair of words, counted by batch
+        names = [w.encode() for w in distinct] + [f"{distinct[p // (len(distinct) + 1)]} {distinct[p % (len(distinct) + 1)]}".encode() for p in pairs.tolist()]
+        h = np.fromiter(map(zlib.crc32, names), np.int64, len(names))
+        used, at = np.concatenate([code, both + len(distinct)]), np.concatenate([row, row[pair]])
+        flat = at * self.dimension + h[used] % self.dimension
+        out += np.bincount(flat, np.where(h[used] >> 31, 1.0, -1.0), out.size).reshape(out.shape)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.where(norms > 0, out / np.where(norms > 0, norms, 1), out)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -17,6 +17,7 @@ from docmill.functions import text as X
 from docmill.functions.html import extract_page
 from docmill.operators.chunking import crawl_chunks
 from docmill.plans.lineage import cut
+from docmill.plans.sizing import small_side
 from docmill.schema import CrawlChunks, CrawlConfig, CrawlMode, UrlPatterns
 from docmill.sources.embedder import Embedder, HashingEmbedder, embed_column
 
@@ -26,6 +27,7 @@ class CrawlProgress:
     crawled: int
     queued: int
     failed: int
+    current_url: str | None = None  # the last page that was taken
 
 
 def host(url: Column) -> Column:
@@ -77,29 +79,49 @@ def fetch(urls: DataFrame, config: CrawlConfig, timeout: float = 30.0) -> DataFr
     return urls.select("url").repartition(max(1, config.concurrent_requests)).mapInArrow(run, "url string, status int, html string")
 
 
-def crawl(pages: DataFrame, config: CrawlConfig) -> tuple[DataFrame, CrawlProgress]:
+def crawl(pages: DataFrame | Callable[[DataFrame], DataFrame], config: CrawlConfig, spark: SparkSession | None = None, on_progress: Callable[[CrawlProgress], None] | None = None) -> tuple[DataFrame, CrawlProgress]:
     """((url, depth, page) in breadth-first order of discovery, progress) from ``config.start_url``.
 
-    ``pages`` has url and html, and maybe status (only 200 counts). A page that is missing or failed is
-    passed over. One job a level; what has been visited stays a table. Focus sets nothing apart.
+    ``pages`` has url and html, and maybe status (only 200 counts); or it is a function that gets them for a table of urls,
+    such as :func:`fetch`, which is asked level by level for no more pages than may still be taken. A page that is
+    missing or failed is passed over. What has been visited stays a table; ``on_progress`` hears of each step.
+    Focus sets nothing apart.
     """
-    spark: SparkSession = pages.sparkSession
-    source = pages.filter("url IS NOT NULL AND html IS NOT NULL")
-    if "status" in pages.columns:
-        source = source.filter("status = 200")
-    source = source.groupBy("url").agg(F.min("html").alias("html"))
+    spark = spark or pages.sparkSession
+
+    def contents(urls: DataFrame, n: int) -> DataFrame:
+        """url, html of those of the urls that can be had: they meet the pages before anything is gathered by url."""
+        got = pages(urls) if callable(pages) else pages.join(small_side(urls, n), "url", "left_semi")
+        got = got.filter("url IS NOT NULL AND html IS NOT NULL")
+        return (got.filter("status = 200") if "status" in got.columns else got).groupBy("url").agg(F.min("html").alias("html"))
+
     frontier = spark.createDataFrame([(config.start_url, [0])], "url string, rank array<long>")
     visited = frontier.select("url")
     levels: list[DataFrame] = []
     crawled = failed = queued = depth = 0
+    last: str | None = None
     while crawled < config.max_pages and depth <= config.max_depth:
-        found, left, wanted = frontier.join(source, "url").orderBy("rank"), config.max_pages - crawled, queued or 1
-        if wanted > left:  # a limit gathers what it keeps in one task
-            found = found.limit(left)
-        level = cut(found.select("url", "rank", F.lit(depth).alias("depth"), extract_page(F.col("html"), F.col("url")).alias("page")))
-        n = level.count()
-        crawled += n
-        failed += wanted - n if crawled < config.max_pages else 0
+        wanted, asked, n, parts = queued or 1, 0, 0, []
+        while asked < wanted and crawled < config.max_pages:
+            left = config.max_pages - crawled
+            urls, size = frontier, wanted
+            if wanted - asked > left and callable(pages):  # ask for no more than may be taken
+                urls, size = frontier.orderBy("rank").offset(asked).limit(left), left
+            elif asked:
+                urls, size = frontier.orderBy("rank").offset(asked), wanted - asked
+            found = urls.join(contents(urls.select("url"), size), "url")
+            if size > left:  # a limit gathers what it keeps in one task
+                found = found.orderBy("rank").limit(left)
+            part = cut(found.select("url", "rank", F.lit(depth).alias("depth"), extract_page(F.col("html"), F.col("url")).alias("page")))
+            got = part.count()
+            asked, n, crawled = asked + size, n + got, crawled + got
+            failed += size - got if crawled < config.max_pages else 0
+            parts.append(part)
+            if got:
+                last = part.agg(F.max_by("url", "rank")).first()[0]
+            if on_progress:
+                on_progress(CrawlProgress(crawled, wanted - asked, failed, last))
+        level = reduce(DataFrame.unionByName, parts)
         levels.append(level)
         if not n or not follows(config.mode, depth, config.max_depth):
             break
@@ -113,17 +135,18 @@ def crawl(pages: DataFrame, config: CrawlConfig) -> tuple[DataFrame, CrawlProgre
         visited = visited.unionByName(frontier.select("url"))
         depth += 1
     out = reduce(DataFrame.unionByName, levels).select("url", "depth", "rank", "page")
-    return out, CrawlProgress(crawled, queued if crawled >= config.max_pages else 0, failed)
+    return out, CrawlProgress(crawled, queued if crawled >= config.max_pages else 0, failed, last)
 
 
 def documents_of(crawled: DataFrame, embedder: Embedder | None = None, now: datetime | None = None, strategy: CrawlChunks | None = None) -> DataFrame:
     """Entries of crawled pages: a document for each chunk, with id, tags and vector."""
     embedder = embedder or HashingEmbedder()
     stamp = F.lit(now) if now else F.current_timestamp()
-    pages = crawled.select("url", F.col("page.title").alias("title"), F.col("page.markdown").alias("content"), F.col("page.metadata.language").alias("language"))
-    chunks = crawl_chunks(pages, strategy, "url", "content")
-    total = F.count(F.lit(1)).over(Window.partitionBy("url"))
-    whole = chunks.withColumn("total", total).join(pages.select("url", "title", "language"), "url")
+    # the page's fields go along as its key, so that it is extracted once
+    key = F.struct("url", F.col("page.title").alias("title"), F.col("page.metadata.language").alias("language"))
+    each = crawled.select("url", F.explode(F.array("page")).alias("page"))
+    chunks = crawl_chunks(each.select(key.alias("doc"), F.col("page.markdown").alias("content")), strategy, "doc", "content")
+    whole = chunks.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("doc"))).select("*", "doc.url", "doc.title", "doc.language")
     name = X.chunk_id(F.col("url"), F.col("position"))
     meta = F.struct(F.lit("Documentation").alias("content_type"), F.col("language").alias("language"), stamp.cast("timestamp").alias("last_updated"), X.chunk_tags(F.col("has_code"), F.col("position"), F.col("total")).alias("tags"))
     doc = F.struct(name.alias("id"), F.col("content").alias("content"), F.col("url").alias("url"), F.col("title").alias("title"), F.col("heading_context").alias("section"), meta.alias("metadata"))

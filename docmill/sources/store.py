@@ -1,26 +1,35 @@
 """The document store: entries as Parquet snapshots behind a pointer.
 
-A change writes a whole new snapshot (or appends a folder to a new one's list) and then moves the
-pointer, so that readers see the old or the new state and a lost executor or driver
-leaves the store as it was. JSON is for import and export.
+A change writes new folders and then a new numbered pointer that names all folders of the new state. A pointer is never replaced or
+removed by a change, so that readers see the old or the new state at any moment, and a lost executor or driver
+leaves the store as it was. Of two writers that start from one pointer the second finds its number taken and
+begins anew on the first one's state, so no change is lost. Entries lie in parts by the hash of their source: deleting or refreshing a source rewrites its
+part only. JSON is for import and export.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions import text as X
 from docmill.schema import ENTRY
 
 VERSION = 1
-POINTER = "CURRENT.json"
+#: Pointers are numbered; the one with the greatest number counts.
+POINTER = "CURRENT.{:012d}.json"
+#: Parts by source that a folder of entries has.
+PARTS = 16
+#: Attempts of a change that meets other writers.
+ATTEMPTS = 20
 #: Rows up to which entries are exported as one JSON document.
 SINGLE_FILE_ROWS = 100_000
 
@@ -34,6 +43,11 @@ class StoreMetadata:
     last_modified: str
     document_count: int
     folders: tuple[str, ...] = ()
+    number: int = 0
+
+
+class Conflict(RuntimeError):
+    """Another writer has moved the pointer."""
 
 
 def _now() -> str:
@@ -60,24 +74,50 @@ class _Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Write beside, then rename over."""
-        self._fs.mkdirs(self._root)
-        staged = self._at(f".{name}.{uuid.uuid4().hex}")
-        out = self._fs.create(staged, True)
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._root)] if self._fs.exists(self._root) else []
+
+    def _put(self, name: str, text: str) -> None:
+        out = self._fs.create(self._at(name), True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if not self._fs.rename(staged, self._at(name)):
+
+    def write(self, name: str, text: str) -> None:
+        """A file of a new name or over an old one, whole or not at all."""
+        self._fs.mkdirs(self._root)
+        staged = f".{name}.{uuid.uuid4().hex}"
+        self._put(staged, text)
+        if not self._fs.rename(self._at(staged), self._at(name)):
             self._fs.delete(self._at(name), False)
-            if not self._fs.rename(staged, self._at(name)):
-                raise OSError(f"can't move the pointer in {self._root}")
+            if not self._fs.rename(self._at(staged), self._at(name)):
+                raise OSError(f"can't write {name} in {self._root}")
+
+    def write_new(self, name: str, text: str) -> None:
+        """A file that mustn't be there: whoever creates its claim first writes it."""
+        self._fs.mkdirs(self._root)
+        try:
+            self._fs.create(self._at(f".{name}.claim"), False).close()
+        except Exception as e:
+            raise Conflict(name) from e
+        staged = f".{name}.{uuid.uuid4().hex}"
+        self._put(staged, text)
+        if not self._fs.rename(self._at(staged), self._at(name)):
+            raise OSError(f"can't write {name} in {self._root}")
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
 
+def part_of_source(source: Column) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(PARTS)).cast("int")
+
+
+def part_number(spark: SparkSession, source: str) -> int:
+    return spark.range(1).select(part_of_source(F.lit(source))).first()[0]
+
+
 class Store:
     """Entries under ``path``. Nothing is cached: each read starts from the pointer."""
 
@@ -87,28 +127,40 @@ class Store:
 
     def metadata(self) -> StoreMetadata | None:
         """None if there is no store yet; an error for one of another version."""
-        text = self._files.read(POINTER)
-        if text is None:
+        pointers = sorted(n for n in self._files.names() if n.startswith("CURRENT.") and n.endswith(".json"))
+        if not pointers:
             return None
-        d = json.loads(text)
+        d = json.loads(self._files.read(pointers[-1]))
         if d.get("version") != VERSION:
             raise ValueError(f"store of version {d.get('version')}, expected {VERSION}")
         return StoreMetadata(**{**d, "folders": tuple(d["folders"])})
 
     def create(self) -> StoreMetadata:
         """An empty store, unless there is one."""
-        return self.metadata() or self._point(StoreMetadata(VERSION, _now(), _now(), 0))
-
-    def _point(self, m: StoreMetadata) -> StoreMetadata:
-        self._files.write(POINTER, json.dumps(asdict(m)))
-        return m
+        return self._change(lambda m: m) if self.metadata() is None else self.metadata()
+
+    def _change(self, change: Callable[[StoreMetadata], StoreMetadata]) -> StoreMetadata:
+        """Move the pointer to ``change`` of the state; computed anew where another writer was first."""
+        for attempt in range(ATTEMPTS):
+            m = self.metadata() or StoreMetadata(VERSION, _now(), _now(), 0)
+            new = change(m)
+            new = replace(new, last_modified=_now(), number=m.number + 1)
+            try:
+                self._files.write_new(POINTER.format(new.number), json.dumps(asdict(new)))
+                return new
+            except Conflict:
+                time.sleep(0.1 * (attempt + 1))
+        raise Conflict(f"{self.path}: other writers were first {ATTEMPTS} times")
 
     def entries(self) -> DataFrame:
         """All entries; none if there is no store."""
         m = self.metadata()
         if not m or not m.folders:
             return self.spark.createDataFrame([], ENTRY)
-        return self.spark.read.schema(ENTRY).parquet(*(f"{self.path}/{f}" for f in m.folders))
+        return self._read(m.folders)
+
+    def _read(self, folders: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(*(f"{self.path}/{f}" for f in folders))
 
     def documents(self) -> DataFrame:
         """Entries with the fields of their documents side by side."""
@@ -120,32 +172,60 @@ class Store:
         m = self.metadata()
         return m.document_count if m else 0
 
-    def _write(self, df: DataFrame) -> tuple[str, int]:
+    def _write(self, df: DataFrame) -> list[str]:
+        """The entries in a new folder, in parts by source; the folders of its parts."""
         folder = f"part-{uuid.uuid4().hex}"
-        df.select(*(F.col(f.name).cast(f.dataType) for f in ENTRY)).write.parquet(f"{self.path}/{folder}")
-        return folder, self.spark.read.parquet(f"{self.path}/{folder}").count()
+        rows = df.select(*(F.col(f.name).cast(f.dataType) for f in ENTRY))
+        rows.withColumn("p", part_of_source(X.source_of(F.col("document.url")))).write.partitionBy("p").parquet(f"{self.path}/{folder}")
+        return sorted(f"{folder}/{n}" for n in _Files(self.spark, f"{self.path}/{folder}").names() if n.startswith("p="))
+
+    def _count(self, folders: Sequence[str]) -> int:
+        return self._read(folders).count() if folders else 0
 
     def append(self, df: DataFrame) -> int:
         """Add entries (no check of ids, as many with one id as come); returns how many."""
-        m = self.create()
-        folder, n = self._write(df)
-        self._point(replace(m, last_modified=_now(), document_count=m.document_count + n, folders=(*m.folders, folder)))
+        folders = self._write(df)
+        n = self._count(folders)
+        self._change(lambda m: replace(m, document_count=m.document_count + n, folders=(*m.folders, *folders)))
         return n
 
-    def rewrite(self, change: Callable[[DataFrame], DataFrame]) -> int:
+    def rewrite(self, change: Callable[[DataFrame], DataFrame], source: str | None = None) -> int:
         """Replace the entries by ``change`` of them (given as :meth:`entries` are); returns by how many fewer there are.
 
-        Old snapshots stay until :meth:`vacuum`, for readers that began before.
+        With a ``source``, the change is one of that source's entries only, and only its part is read and written.
+        Old folders stay until :meth:`vacuum`, for readers that began before.
         """
-        m = self.create()
-        folder, n = self._write(change(self.entries()))
-        self._point(replace(m, last_modified=_now(), document_count=n, folders=(folder,)))
-        return m.document_count - n
+        before: list[int] = []
+
+        def changed(m: StoreMetadata) -> StoreMetadata:
+            touched = [f for f in m.folders if source is None or f.endswith(f"/p={part_number(self.spark, source)}")]
+            old = self._read(touched) if touched else self.spark.createDataFrame([], ENTRY)
+            folders = self._write(change(old))
+            n = m.document_count - self._count(touched) + self._count(folders)
+            before[:] = [m.document_count - n]
+            return replace(m, document_count=n, folders=(*(f for f in m.folders if f not in touched), *folders))
+
+        self._change(changed)
+        return before[0]
+
+    def remove(self, value: str) -> int:
+        """Take out the entries of an id; returns how many. Folders without it stay as they are."""
+        gone: list[int] = []
+
+        def changed(m: StoreMetadata) -> StoreMetadata:
+            held = self._read(m.folders).filter(F.col("id") == value).select(F.input_file_name().alias("f")).groupBy("f").count().collect() if m.folders else []
+            touched = [f for f in m.folders if any(f"/{f}/" in r.f for r in held)]
+            folders = self._write(self._read(touched).filter(F.col("id").isNull() | (F.col("id") != value))) if touched else []
+            gone[:] = [sum(r["count"] for r in held)]
+            return replace(m, document_count=m.document_count - gone[0], folders=(*(f for f in m.folders if f not in touched), *folders))
+
+        self._change(changed)
+        return gone[0]
 
     def clear(self) -> int:
-        m = self.create()
-        self._point(replace(m, last_modified=_now(), document_count=0, folders=()))
-        return m.document_count
+        n = self.count()
+        self._change(lambda m: replace(m, document_count=0, folders=()))
+        return n
 
     def compact(self) -> None:
         """One snapshot instead of many appended ones."""
@@ -153,10 +233,12 @@ class Store:
 
     def vacuum(self) -> int:
         """Remove the folders that the pointer doesn't name; returns how many."""
-        m = self.create()
-        status = self._files._fs.listStatus(self._files._root)
-        old = [s.getPath().getName() for s in status if s.isDirectory() and s.getPath().getName().startswith("part-") and s.getPath().getName() not in m.folders]
-        for name in old:
+        m, named = self.create(), self._files.names()
+        live = {f.split("/")[0] for f in m.folders}
+        old = [n for n in named if n.startswith("part-") and n not in live]
+        # pointers before the one that counts, but not the claims of the last ones, whose writers may be at work
+        past = [n for n in named if n.lstrip(".").startswith("CURRENT.") and n.lstrip(".").split(".")[1].isdigit() and int(n.lstrip(".").split(".")[1]) < m.number]
+        for name in (*old, *past):
             self._files.remove(name)
         return len(old)
 

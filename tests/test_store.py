@@ -42,7 +42,7 @@ def test_store(spark, store):
 
 def test_version(spark, store, tmp_path):
     store.create()
-    store._files.write(POINTER, json.dumps({"version": 9}))
+    store._files.write(POINTER.format(9), json.dumps({"version": 9}))
     with pytest.raises(ValueError, match="version"):
         store.count()
     with pytest.raises(ValueError):
