@@ -89,9 +89,10 @@ def to_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         known = s[s.notna()]
         flat = np.concatenate([np.empty(0, "<f4"), *known.to_numpy()]).astype("<f4").tobytes()
-        ends = np.cumsum([len(v) for v in known]).astype(int) * 4
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) * 4
+        ends = np.cumsum(sizes)
         out = pd.Series([None] * len(s), index=s.index, dtype=object)
-        out[known.index] = pd.Series([flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], index=known.index, dtype=object)
+        out[known.index] = pd.Series([flat[a:b] for a, b in zip(ends - sizes, ends, strict=True)], index=known.index, dtype=object)
         yield out
 
 

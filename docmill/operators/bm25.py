@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.functions.text import tokenize
 from docmill.plans.lineage import cut
@@ -102,7 +103,7 @@ def keep(df: DataFrame, path: str, id_col: str = "id", text_col: str = "content"
     rows = counted.select("id", "dl", F.explode("terms").alias("p")).select("id", "dl", "p.term", "p.tf", part.alias("part"))
     rows.repartitionByRange("part", "term", "id").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     spark = df.sparkSession
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    _postings(spark, path, counted.schema["id"]).groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
     documents = counted.select("id", "dl")
     documents.write.mode("overwrite").parquet(f"{path}/documents")
     documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
@@ -112,7 +113,13 @@ def keep(df: DataFrame, path: str, id_col: str = "id", text_col: str = "content"
 def load(spark: SparkSession, path: str) -> Bm25Index:
     """An index that :func:`keep` has stored."""
     row = spark.read.parquet(f"{path}/corpus").first()
-    return Bm25Index(None, {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "documents")}, (row.n, row.avgdl))
+    terms, documents = (spark.read.parquet(f"{path}/{name}") for name in ("terms", "documents"))
+    return Bm25Index(None, {"postings": _postings(spark, path, documents.schema["id"]), "terms": terms, "documents": documents}, (row.n, row.avgdl))
+
+
+def _postings(spark: SparkSession, path: str, id_field: T.StructField) -> DataFrame:
+    rest = [T.StructField("dl", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("part", T.IntegerType())]
+    return spark.read.schema(T.StructType([id_field, *rest])).parquet(f"{path}/postings")
 
 
 def idf(n: Column, df: Column, plus_one: bool = False) -> Column:

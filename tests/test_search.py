@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.operators import ann, bm25, hybrid, search
+from docmill.operators.dedup import current
 from docmill.queries import QUERIES
 from docmill.schema import AnnParams, Bm25Params, HybridOptions, SearchOptions
 
@@ -61,7 +62,7 @@ def test_results(entries):
 
 def test_bm25(spark):
     docs = spark.createDataFrame([(1, "apple apple tree"), (2, "apple pie"), (3, "sky"), (4, None), (5, ""), (5, "apple"), (None, "apple")], "id long, content string")
-    index = bm25.build_index(docs)
+    index = bm25.build_index(docs, distinct=True)
     stats = bm25.index_stats(index).first()
     assert (stats.doc_count, stats.term_count) == (5, 4) and stats.avg_doc_length == pytest.approx(6 / 5)
     got = {r.id: r.score for r in bm25.keyword_scores(index, "pie pie sky").collect()}
@@ -182,3 +183,27 @@ def test_links_of_a_large_cell(spark):
     assert not any(s == t for s, t in got)
     for lo, hi in ((0, 300), (300, 900)):
         assert np.mean([(i, j) in got for i in range(lo, hi) for j in best[i]]) >= 0.95
+
+
+def test_bm25_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "apple apple tree"), (2, "apple pie"), (3, "sky pie pie"), (4, None), (5, "")], "id long, content string")
+    index, kept = bm25.build_index(docs), bm25.keep(docs, f"{tmp_path}/k")
+    for query in ("apple pie", "pie pie sky", "none such", "", "apple sky tree"):
+        want = {r.id: pytest.approx(r.score) for r in bm25.keyword_scores(index, query).collect()}
+        assert {r.id: r.score for r in bm25.keyword_scores(kept, query).collect()} == want
+    assert bm25.index_stats(kept).first() == bm25.index_stats(index).first()
+    assert sorted(map(tuple, kept.postings.collect())) == sorted(map(tuple, index.postings.collect())) == [(1, "apple", 2), (1, "tree", 1), (2, "apple", 1), (2, "pie", 1), (3, "pie", 2), (3, "sky", 1)]
+    empty = bm25.keep(docs.limit(0), f"{tmp_path}/e")
+    assert bm25.keyword_scores(empty, "apple").count() == 0
+
+
+def test_repeated_ids_are_one_document(spark):
+    rows = [("a", 1, [1.0, 0.0], "old"), ("a", 2, [1.0, 0.1], "new"), ("b", 1, [0.9, 0.3], "b"), ("c", 1, [0.0, 1.0], "c"), (None, 3, [1.0, 0.0], "x")]
+    df = spark.createDataFrame(rows, "id string, indexed_at long, vector array<float>, content string")
+    now = current(df)
+    assert sorted((r.id, r.content) for r in now.collect()) == [("a", "new"), ("b", "b"), ("c", "c")]
+    hits = search.with_documents(search.exact_topk(now, [1.0, 0.0], SearchOptions(limit=2)), df)
+    assert sorted((r.id, r.content) for r in hits.collect()) == [("a", "new"), ("b", "b")]
+    assert current(df.limit(0)).count() == 0
+    index = ann.build(now, AnnParams(rows_per_cell=2))
+    assert index.stats().first().node_count == 3 and index.table.columns == [*df.columns, "cell"]
