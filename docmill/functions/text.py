@@ -62,8 +62,8 @@ def is_blank(c: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Tokens: lower case, split at white space, without characters other than letters and digits at the ends."""
     # one pass over the text: runs of other characters that stand next to white space or an end
-    other = rf"[^\p{{IsAlphabetic}}\p{{N}}{_SET}]+"
-    bare = F.regexp_replace(F.lower(c), f"(?<![^{_SET}]){other}|{other}(?![^{_SET}])", "")
+    other = r"[^\p{IsAlphabetic}\p{N}\s]+"
+    bare = F.regexp_replace(F.lower(c), rf"(?U)(?<!\S){other}|{other}(?!\S)", "")
     return F.filter(F.split(bare, SPACE + "+"), lambda x: x != "")
 
 

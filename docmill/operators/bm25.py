@@ -23,7 +23,7 @@ TERM_PARTS = 64
 
 
 class Bm25Index:
-    """``tokens``: id, tokens (sorted); a kept index has its postings, terms and figures of the corpus besides."""
+    """``tokens``: id, tokens; a kept index has its postings, terms and figures of the corpus besides."""
 
     def __init__(self, tokens: DataFrame | None, kept: dict[str, DataFrame] | None = None, figures: tuple[int, float] | None = None):
         self._tokens, self.kept, self.figures = tokens, kept, figures
@@ -83,13 +83,13 @@ def build_index(df: DataFrame, id_col: str = "id", text_col: str = "content", di
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if distinct:
         docs = docs.groupBy("id").agg(F.min("text").alias("text"))
-    tokens = F.array_sort(F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")))
+    tokens = F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>"))
     return Bm25Index(docs.select("id", tokens.alias("tokens")))
 
 
 def counted_terms(docs: DataFrame) -> DataFrame:
-    """(id, sorted tokens) -> id, dl, terms: the runs of equal tokens, by the places where a new one begins."""
-    each = docs.select("id", F.explode(F.array("tokens")).alias("t"))  # computed once
+    """(id, tokens) -> id, dl, terms: the runs of equal ones among the sorted tokens, by the places where a new one begins."""
+    each = docs.select("id", F.explode(F.array(F.array_sort("tokens"))).alias("t"))  # computed once
     begins = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
     placed = each.select("id", "t", F.explode(F.array(F.when(F.size("t") > 0, begins).otherwise(F.array().cast("array<int>")))).alias("b"))
     runs = F.transform("b", lambda at, k: F.struct(F.element_at("t", at).alias("term"), (F.coalesce(F.get("b", k + 1), F.size("t") + 1) - at).cast("long").alias("tf")))
@@ -164,5 +164,12 @@ def keyword_topk(index: Bm25Index, query: str, k: int, params: Bm25Params | None
 
 def index_stats(index: Bm25Index) -> DataFrame:
     """One row: doc_count, term_count, avg_doc_length."""
-    terms = index.terms.agg(F.count(F.lit(1)).alias("term_count"))
-    return index.corpus().join(F.broadcast(terms)).select(F.col("n").alias("doc_count"), "term_count", F.col("avgdl").alias("avg_doc_length"))
+    if index.kept:
+        terms = index.terms.agg(F.count(F.lit(1)).alias("term_count"))
+        return index.corpus().join(F.broadcast(terms)).select(F.col("n").alias("doc_count"), "term_count", F.col("avgdl").alias("avg_doc_length"))
+    # documents and lengths go along with each document's first term, so that one pass gives all three
+    each = counted_terms(index._tokens).select("dl", F.posexplode_outer("terms").alias("nth", "p"))
+    first = F.coalesce(F.col("nth") == 0, F.lit(True))
+    by_term = each.groupBy(F.col("p.term").alias("term")).agg(F.count_if(first).alias("n"), F.coalesce(F.sum(F.when(first, F.col("dl"))), F.lit(0)).alias("dl"))
+    whole = by_term.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("doc_count"), F.count("term").alias("term_count"), F.sum("dl").alias("dl"))
+    return whole.select("doc_count", "term_count", F.when(F.col("doc_count") > 0, F.col("dl") / F.col("doc_count")).otherwise(0.0).alias("avg_doc_length"))

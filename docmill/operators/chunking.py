@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as X
 from docmill.operators.dedup import first_of_each
+from docmill.plans.tables import dealt
 from docmill.schema import ChunkStrategy, CrawlChunks, FixedSize, HeadingBased, Semantic
 
 _HEADING = re.compile(r"(#{1,6}) (.*)")
@@ -207,7 +208,7 @@ def chunk(df: DataFrame, strategy: ChunkStrategy, id_col: str = "id", text_col:
         return crawl_chunks(df, strategy, id_col, text_col, across)
     rows = cut(df, strategy, id_col, text_col).withColumn("content", X.trim(F.col("content"))).filter("content <> ''")
     rows = rows.withColumn("content_hash", X.content_hash(F.col("content")))
-    rows = rows if across else rows.repartition("id")
+    rows = rows if across else dealt(rows, "id")
     kept = numbered(first_contents(rows, across))
     out = kept.select("id", F.col("position").cast("long").alias("position"), "content", "heading", "heading_context", X.has_code(F.col("content")).alias("has_code"), "content_hash", "start_char", "end_char")
     return out.withColumnRenamed("id", id_col)
@@ -253,7 +254,7 @@ def crawl_chunks(df: DataFrame, strategy: CrawlChunks | None = None, id_col: str
     """
     strategy = strategy or CrawlChunks()
     rows = cut(df, strategy, id_col, text_col).filter(X.is_quality(F.col("content"), strategy.min_bytes))
-    rows = rows.withColumn("has_code", X.contains_code(F.col("content")))
+    rows = dealt(rows.withColumn("has_code", X.contains_code(F.col("content"))), "id")
     lapped = with_overlap(rows, "id", "n", overlap=strategy.overlap).filter(X.is_quality(F.col("content"), strategy.min_bytes))
     lapped = lapped.withColumn("content_hash", X.normalized_hash(F.col("content")))
     if seen is not None:

@@ -15,3 +15,11 @@ def spread(df: DataFrame) -> DataFrame:
     cluster has cores, its rows (few bytes then) are dealt out; a larger scan stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with equal columns together, in parts that stay as many as the session's for a shuffle, or the cores if these are more: few
+    bytes that are much work to each row aren't gathered in a few tasks. What groups or windows by these columns needs no further shuffle."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *columns)

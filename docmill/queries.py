@@ -18,7 +18,7 @@ from docmill.functions import vectors as V
 from docmill.functions.html import extract_page
 from docmill.operators import ann, bm25, chunking, dedup, hybrid, lifecycle, quantizer, search
 from docmill.plans.lineage import scratch
-from docmill.plans.tables import spread, table
+from docmill.plans.tables import dealt, spread, table
 from docmill.schema import AnnParams, Bm25Params, CrawlChunks, CrawlConfig, CrawlMode, FixedSize, HeadingBased, HybridOptions, SearchOptions, Semantic, UrlPatterns
 from docmill.sources import pages
 
@@ -592,7 +592,7 @@ def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
 @query("index_documents")
 def index_documents(spark: SparkSession, d: str) -> DataFrame:
     """Pages to entries: extract, chunk, tag, embed."""
-    p = html_pages(spark, d).dropDuplicates(["url"]).select("url", extract_page(F.col("html"), F.col("url")).alias("page"))
+    p = dealt(html_pages(spark, d), "url").dropDuplicates(["url"]).select("url", extract_page(F.col("html"), F.col("url")).alias("page"))
     e = pages.documents_of(p, now=NOW)
     return e.select("id", F.col("document.url").alias("url"), F.col("document.metadata.tags").alias("tags"), F.size("vector").alias("dimension"))
 
