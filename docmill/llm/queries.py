@@ -91,7 +91,7 @@ def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).cleaned()
+    return _lines(spark, d).cleaned().select("id", F.md5("text").alias("digest"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +170,44 @@ QUERIES: dict[str, Query] = {
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _WS = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+_P4 = f"""WITH e AS (SELECT id, document.content AS c, regexp_replace(lower(regexp_extract(document.url, '://([^/:?#]*)', 1)), '^www\\.', '') AS host FROM entries QUALIFY row_number() OVER (PARTITION BY id) = 1),
+h AS (SELECT host, count(*) AS docs FROM e WHERE host <> '' GROUP BY 1),
+l AS (SELECT id, host, i AS line_no, lines[i] AS line, trim(regexp_replace(regexp_replace(lower(lines[i]), '[0-9]+', '0', 'g'), '{_WS}+', ' ', 'g')) AS key FROM (SELECT id, host, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT id, host, string_split(c, chr(10)) AS lines FROM e WHERE host <> ''))),
+k AS (SELECT * FROM l WHERE len(regexp_extract_all(key, '[\\p{{L}}\\p{{N}}]+')) >= 3),
+f AS (SELECT host, key, count(DISTINCT id) AS n FROM k GROUP BY 1, 2),
+p AS (SELECT id, line_no FROM k JOIN f USING (host, key) JOIN h USING (host) WHERE n >= 4 AND n >= 0.05 * docs)
+"""
+
+ORACLES: dict[str, str] = {
+    "p4_cleaned": _P4 + "SELECT id, md5(CASE WHEN c IS NULL THEN NULL ELSE coalesce((SELECT string_agg(line, chr(10) ORDER BY line_no) FROM l WHERE l.id = e.id AND NOT EXISTS (SELECT 1 FROM p WHERE p.id = l.id AND p.line_no = l.line_no)), '') END) AS digest FROM e WHERE host <> ''",
+    "p5_found": """WITH e AS (SELECT id, vector::DOUBLE[] AS v FROM entries WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x) OR x IS NULL)) = 0 AND list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0 QUALIFY row_number() OVER (PARTITION BY id) = 1),
+k AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) <= 10)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k""",
+    "p2_found": f"""WITH e AS (SELECT id, {_WORDS.format("document.content")} AS w FROM entries WHERE document.content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id) = 1),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM e WHERE len(w) >= 30)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE shared >= 0.6 * (a.n + b.n - shared)""",
+    "p4_found": _P4 + "FROM p",
+    "p6_decoded": p6_decoded,
+}
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_WS = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+_P4 = f"""WITH e AS (SELECT id, document.content AS c, regexp_replace(lower(regexp_extract(document.url, '://([^/:?#]*)', 1)), '^www\\.', '') AS host FROM entries QUALIFY row_number() OVER (PARTITION BY id) = 1),
+h AS (SELECT host, count(*) AS docs FROM e WHERE host <> '' GROUP BY 1),
+l AS (SELECT id, host, i AS line_no, lines[i] AS line, trim(regexp_replace(regexp_replace(lower(lines[i]), '[0-9]+', '0', 'g'), '{_WS}+', ' ', 'g')) AS key FROM (SELECT id, host, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT id, host, string_split(c, chr(10)) AS lines FROM e WHERE host <> ''))),
+k AS (SELECT * FROM l WHERE len(regexp_extract_all(key, '[\\p{{L}}\\p{{N}}]+')) >= 3),
+f AS (SELECT host, key, count(DISTINCT id) AS n FROM k GROUP BY 1, 2),
+p AS (SELECT id, line_no FROM k JOIN f USING (host, key) JOIN h USING (host) WHERE n >= 4 AND n >= 0.05 * docs)
+"""
+
 ORACLES: dict[str, str] = {
+    "p4_cleaned": _P4 + "SELECT id, md5(CASE WHEN c IS NULL THEN NULL ELSE coalesce((SELECT string_agg(line, chr(10) ORDER BY line_no) FROM l WHERE l.id = e.id AND NOT EXISTS (SELECT 1 FROM p WHERE p.id = l.id AND p.line_no = l.line_no)), '') END) AS digest FROM e WHERE host <> ''",
+    "p5_found": """WITH e AS (SELECT id, vector::DOUBLE[] AS v FROM entries WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x) OR x IS NULL)) = 0 AND list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0 QUALIFY row_number() OVER (PARTITION BY id) = 1),
+k AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) <= 10)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k""",
     "p2_found": f"""WITH e AS (SELECT id, {_WORDS.format("document.content")} AS w FROM entries WHERE document.content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id) = 1),
 s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM e WHERE len(w) >= 30)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
