@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docmill.functions.vectors import check_dimension
+
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -84,4 +86,4 @@ def embed_column(text: Column, embedder: Embedder) -> Column:
                 out[known] = pd.Series(list(embedder.embed(s[known].tolist())), index=s.index[known])
             yield out
 
-    return run(text)
+    return check_dimension(run(text), embedder.dimension)

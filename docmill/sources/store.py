@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions import text as X
-from docmill.schema import ENTRY
+from docmill.schema import CONTENT_TYPES, ENTRY
 
 VERSION = 1
 #: Pointers are numbered; the one with the greatest number counts.
@@ -175,7 +175,9 @@ class Store:
     def _write(self, df: DataFrame) -> list[str]:
         """The entries in a new folder, in parts by source; the folders of its parts."""
         folder = f"part-{uuid.uuid4().hex}"
-        rows = df.select(*(F.col(f.name).cast(f.dataType) for f in ENTRY))
+        kind = F.col("document.metadata.content_type")
+        known = F.when(kind.isNull() | kind.isin(*CONTENT_TYPES), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no such kind of document: "), kind)))
+        rows = df.select(*(F.col(f.name).cast(f.dataType) for f in ENTRY)).withColumn("id", known)
         rows.withColumn("p", part_of_source(X.source_of(F.col("document.url")))).write.partitionBy("p").parquet(f"{self.path}/{folder}")
         return sorted(f"{folder}/{n}" for n in _Files(self.spark, f"{self.path}/{folder}").names() if n.startswith("p="))
 

@@ -118,3 +118,23 @@ def test_the_crawl_reaches_every_page(spark):
     got = [(int(r.url.rsplit("-", 1)[1]), r.depth) for r in QUERIES["crawl_bfs"](spark, str(folder)).collect()]
     assert len(got) == len(want) > 31 and {n for n, _ in got} == want
     assert all(depth == (n + 1).bit_length() - 1 for n, depth in got)
+
+
+def test_crawl_by_a_function_of_urls(spark):
+    """Pages are asked for level by level, never more than may be taken, and missing ones are passed over."""
+    site = {"https://s/docs/0": [1, 2, 3], "https://s/docs/1": [4, 5], "https://s/docs/3": [6], "https://s/docs/4": [], "https://s/docs/5": [], "https://s/docs/6": []}
+    asked, seen = [], []
+
+    def get(urls):
+        now = [r.url for r in urls.collect()]
+        asked.append(len(now))
+        rows = [(u, 200, "<main><h1>t</h1>" + "".join(f'<a href="/docs/{k}">x</a>' for k in site[u]) + "</main>") for u in now if u in site] + [(u, 404, None) for u in now if u not in site]
+        return spark.createDataFrame(rows, "url string, status int, html string")
+
+    config = CrawlConfig("https://s/docs/0", CrawlMode.FULL, max_pages=4, max_depth=5)
+    found, progress = P.crawl(get, config, spark, seen.append)
+    assert [r.url[-1] for r in found.orderBy("depth", "rank").collect()] == ["0", "1", "3", "4"]
+    assert progress.crawled == 4 and progress.current_url == "https://s/docs/4" and max(asked) <= 3
+    assert [p.crawled for p in seen] == sorted(p.crawled for p in seen)
+    whole, progress = P.crawl(get, CrawlConfig("https://s/docs/0", CrawlMode.FULL, max_pages=50), spark)
+    assert whole.count() == 6 and progress.failed == 1

@@ -176,3 +176,57 @@ def test_stream(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp3")).start()
     q.awaitTermination()
     assert spark.table("windows").first().arrivals == 4
+
+
+def test_writers_lose_nothing(spark, store):
+    """A writer whose pointer was taken meanwhile begins anew on the other's state."""
+    store.append(entries(spark, entry("a")))
+    other, done = Store(spark, store.path), []
+    claim = store._files.write_new
+
+    def late(name, text):
+        if not done:
+            done.append(other.append(entries(spark, entry("b"))))
+        claim(name, text)
+
+    store._files.write_new = late
+    assert store.append(entries(spark, entry("c"))) == 1
+    assert sorted(r.id for r in store.entries().collect()) == ["a", "b", "c"] and store.count() == 3 == Store(spark, store.path).count()
+
+
+def test_deleting_a_source_leaves_other_parts(spark, store):
+    store.append(entries(spark, *(entry(f"e{i}", url=f"https://x/{i}") for i in range(12))))
+    before = set(store.metadata().folders)
+    assert store.rewrite(lambda e: e.filter("document.url <> 'https://x/3'"), "https://x/3") == 1
+    after = set(store.metadata().folders)
+    assert len(before - after) == 1 and len(before & after) == len(before) - 1 > 1
+    assert store.remove("e5") == 1 and store.remove("none") == 0 and store.count() == 10
+    assert {r.id for r in store.entries().collect()} == {f"e{i}" for i in range(12) if i not in (3, 5)}
+
+
+def test_unknown_kinds_are_not_written(spark, store):
+    with pytest.raises(Exception, match="no such kind"):
+        store.append(entries(spark, entry("a", kind="Poem")))
+    assert store.count() == 0
+
+
+def test_search_with_repeated_ids(spark, tmp_path):
+    tools = DocTools(spark, str(tmp_path / "t"), HashingEmbedder(2))
+    later = datetime(2025, 1, 11)
+    tools.store.append(entries(spark, *[entry("a")] * 3, entry("a", indexed=later, content="newest"), entry("bb"), entry("ccc")))
+    got = tools.search_docs("text", 3)
+    assert sorted(r["id"] for r in got) == ["a", "bb", "ccc"] and {r["content"] for r in got if r["id"] == "a"} == {"newest"}
+    listed = tools.list_docs(limit=0)
+    assert listed["total_documents"] == 6 and listed["total_sources"] == 1 and listed["sources"] == {}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from docmill.__main__ import answer, main, within
+
+    assert main(["tools"]) == 0
+    assert "search_docs" in capsys.readouterr().out
+    tools = DocTools(spark, str(tmp_path / "t"), HashingEmbedder(4))
+    assert len(answer(tools, json.dumps({"tool": "info"}))["result"]["tools"]) == 5
+    assert within(60, lambda: 5, spark) == 5
+    with pytest.raises(TimeoutError):
+        within(0.2, lambda: __import__("time").sleep(3), spark)
