@@ -153,11 +153,17 @@ def page_lines(texts: list[str], host: str | None) -> Lines:
     return Lines(flat, page, kind, tied, goes_on, words, first + has, stream, counts)
 
 
+def _one_page(x: Lines, at: np.ndarray, length: int) -> np.ndarray:
+    """Which of the places have their next ``length`` tokens within one page (whose end may be the last of them)."""
+    ends = np.cumsum(x.stream == _PAGE_END)
+    before = ends[at] - (x.stream[at] == _PAGE_END)
+    return ends[at + length - 2] == before if length > 1 else np.ones(len(at), bool)
+
+
 def _within_page(x: Lines, length: int) -> np.ndarray:
     """Places whose next ``length`` tokens lie within one page."""
-    ends = np.flatnonzero(x.stream == _PAGE_END)
     at = np.arange(max(0, len(x.stream) - length + 1))
-    return at[ends[np.searchsorted(ends, at)] >= at + length - 1] if len(ends) else at[:0]
+    return at[_one_page(x, at, length)]
 
 
 def _stream_page(x: Lines) -> np.ndarray:
@@ -207,14 +213,21 @@ def repeated_substrings(x: Lines, least: int, support: float) -> tuple[np.ndarra
     names, pages = [], []
     if len(x.stream) >= least:
         rank = pd.factorize(x.stream, sort=True)[0].astype(np.int64)
+        alive = np.flatnonzero(np.bincount(rank)[rank] >= support)
         width = 1
-        while width < least:
+        while width < least and len(alive):
             step = min(width, least - width)
-            pair = rank[: len(rank) - step] * np.int64(int(rank.max()) + 1) + rank[step:]
-            rank = pd.factorize(pair, sort=True)[0].astype(np.int64)
+            held = np.zeros(len(rank) + step, bool)
+            held[alive] = True
+            at = alive[held[alive + step]]  # of a prefix that often, both halves come as often
+            pair = rank[at] * np.int64(int(rank.max()) + 1) + rank[at + step]
+            code, distinct = pd.factorize(pair, sort=True)
+            often = np.bincount(code, minlength=len(distinct))[code] >= support
+            alive = at[often]
+            rank[alive] = code[often]
             width += step
-        inside = _within_page(x, least)
-        order = inside[np.argsort(rank[inside], kind="stable")]  # the suffix array
+        inside = alive[_one_page(x, alive, least)]
+        order = inside[np.argsort(rank[inside], kind="stable")]  # the part of the suffix array whose prefixes come often enough
         r = rank[order]
         begins = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.empty(0, np.int64)
         interval = np.cumsum(np.append(True, r[1:] != r[:-1])[: len(r)]) - 1
@@ -243,9 +256,7 @@ def marks(x: Lines, weak: np.ndarray, strong: np.ndarray, least: int) -> np.ndar
     grams, lines = gram_names(x, inside, least), line_names(x, usable)
     for mark, known in ((WEAK, weak), (STRONG, strong)):
         at = inside[_among(grams, known)]
-        edge = np.zeros(len(x.stream) + 1, np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + least, -1)
+        edge = np.bincount(at, minlength=len(x.stream) + 1) - np.bincount(at + least, minlength=len(x.stream) + 1)
         sums = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
         covered = sums[np.minimum(x.start + x.words, len(x.stream))] - sums[np.minimum(x.start, len(x.stream))]
         out[text & (covered >= COVER * x.words)] = mark
