@@ -34,8 +34,12 @@ SKETCH_BITS = 256
 WHOLE = 8
 #: Least part of what two texts must share that their rare tokens have to make up for the common ones to be left aside.
 RARE_SHARE = 0.08
-#: Texts, at most, in which common tokens are counted, and the share of them from which a token is common.
-COMMON_TEXTS, COMMON_SHARE = 4000, 0.01
+#: Share of the texts from which a token is common.
+COMMON_SHARE = 0.01
+#: Tokens that a worker counts at once.
+COUNTED_TOKENS = 1 << 21
+#: Characters whose arrays stay near the core while texts become tokens.
+NEAR_CHARS = 1 << 16
 _TOP = float(2**64)
 
 
@@ -66,12 +70,20 @@ def children_needed(threshold: float, picks: float, runs: int, target: float) ->
 
 
 def token_sets(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingle hashes of each text end to end, offsets, number of words of each text)."""
-    w = Words(texts)
-    runs, offsets = w.runs(shingle)
-    sets = [np.unique(runs[offsets[i] : offsets[i + 1]]) for i in range(len(texts))]
-    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
-    return (np.concatenate(sets) if sets else runs), np.concatenate([[0], np.cumsum(lengths)]), np.diff(w.offsets)
+    """(distinct shingle hashes of each text end to end, sorted within it, offsets, number of words of each text)."""
+    sets, sizes, words = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], [np.empty(0, np.int64)]
+    for _, part in slices(texts, NEAR_CHARS):
+        w = Words(part)
+        runs, offsets = w.runs(shingle)
+        for i in range(len(part)):
+            runs[offsets[i] : offsets[i + 1]].sort()
+        new = np.ones(len(runs), bool)
+        new[1:] = runs[1:] != runs[:-1]
+        new[offsets[:-1][np.diff(offsets) > 0]] = True
+        sets.append(runs[new])
+        sizes.append(np.diff(np.concatenate([[0], np.cumsum(new)])[offsets]))
+        words.append(np.diff(w.offsets))
+    return np.concatenate(sets), np.cumsum(np.concatenate(sizes)), np.concatenate(words)
 
 
 def sketches(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -104,25 +116,68 @@ def rare_share(n: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarra
     return np.maximum(RARE_SHARE, 1 - common / (threshold * n))
 
 
-def common_tokens(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted tokens that a COMMON_SHARE of the texts hold, counted in a sample of texts by hash.
+def _among(tokens: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted ``known``, whether it is there) of each token."""
+    if not len(known):
+        return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return at, known[at] == tokens
 
-    Which tokens are taken as common changes the cost of the join, not its recall. There are at most
-    ``1 / COMMON_SHARE`` times as many as a text has, so all workers may have them.
+
+def common_tokens(rows: DataFrame, shingle: int, block: int = COUNTED_TOKENS) -> np.ndarray:
+    """Sorted tokens that a COMMON_SHARE of the texts (20 at least) hold, counted in all texts.
+
+    Each worker counts its texts in blocks of about ``block`` tokens, and gives on what more than half of that share of a
+    block's texts hold. So at most half of the share is missing from the sum of a token: some are common by what was given
+    on, some can't be, and the rest, few however many texts there are, are counted in a second pass.
+    There are at most ``1 / COMMON_SHARE`` times as many common tokens as a text has, so all workers may have them.
     """
     total = rows.count()
-    share = min(1.0, 0.9 * COMMON_TEXTS / max(1, total))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    least = max(20, COMMON_SHARE * total)
+    texts = rows.select("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def missing(n: int) -> int:
+        return int(COMMON_SHARE / 2 * n)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times > missing(n)
+            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often])], ["token", "n"])
+
+        held, size, n = [], 0, 0
+        for b in batches:
+            for _, part in slices(b.column(0).to_pylist()):
+                held.append(token_sets(part, shingle)[0])
+                size, n = size + len(held[-1]), n + len(part)
+                if size >= block:
+                    yield counted()
+                    held, size, n = [], 0, 0
+        if held:
+            yield counted()
+
+    def summed(df: DataFrame, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+        found = df.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= at_least).toPandas()
+        token = found["token"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(token)
+        return token[order], found["n"].to_numpy(np.int64)[order]
+
+    token, n = summed(texts.mapInArrow(blocks, "token long, n long"), least - missing(total))
+    sure, unsure = token[n >= least], token[n < least]
+    if not len(unsure):
+        return sure
+    shared = rows.sparkSession.sparkContext.broadcast(unsure)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        times = np.zeros(len(known), np.int64)
         for b in batches:
             for _, part in slices(b.column(0).to_pylist()):
-                token, times = np.unique(token_sets(part, shingle)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(times)], ["token", "n"])
+                at, hit = _among(token_sets(part, shingle)[0], known)
+                times += np.bincount(at[hit], minlength=len(known))
+        yield pa.RecordBatch.from_arrays([pa.array(known[times > 0].view(np.int64)), pa.array(times[times > 0])], ["token", "n"])
 
-    counts = sample.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") >= max(20, COMMON_SHARE * share * total)).select("token").toPandas()
-    return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(np.concatenate([sure, summed(texts.mapInArrow(exact, "token long, n long"), least)[0]]))
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
@@ -148,7 +203,7 @@ def features(df: DataFrame, shingle: int, min_words: int, threshold: float, pick
                 tokens, sizes = tokens[mask], sizes[keep]
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 owner = np.repeat(np.arange(len(keep)), sizes)
-                hot = known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens if len(known) else np.zeros(len(tokens), bool)
+                hot = _among(tokens, known)[1]
                 held = np.bincount(owner[hot], minlength=len(keep))
                 rate = np.where(hot, np.where(held > (1 - RARE_SHARE) * threshold * sizes, 1.0, 0.0)[owner], (1 / rare_share(sizes, held, threshold))[owner]) / sizes[owner]
                 paths, owners = [], []

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from docmill.llm.neardup import children_needed, near_duplicates, runs_needed
+from docmill.llm.neardup import children_needed, common_tokens, near_duplicates, runs_needed, token_sets
 
 
 def words(text):
@@ -129,3 +130,25 @@ def test_a_template_in_all_texts(spark, bucket):
     df = spark.createDataFrame(list(docs.items()), "id string, content string")
     got = near_duplicates(df, "id", "content", 0.6, 3, bucket=bucket)
     assert {(r.a, r.b) for r in got.pairs.collect()} == brute(docs, 3, 0.6)
+
+
+@pytest.mark.parametrize(("parts", "block"), [(4, 1 << 21), (2, 2000), (40, 1 << 21)])
+def test_common_tokens_are_counted_in_all_texts(spark, parts, block):
+    """Tokens that just under, exactly and just over 1 % of 6,000 texts hold, neighbouring or scattered ones, in blocks of several sizes."""
+    rng = random.Random(5)
+    texts = [[f"u{i}x{j}" for j in range(4)] for i in range(6000)]
+    for k, times in enumerate([*range(40, 81), 3000]):
+        for i in range(k * 50, k * 50 + times) if k % 2 else rng.sample(range(6000), times):
+            texts[i] += [f"p{k}", "of", "it"]
+    docs = [" ".join(t) for t in texts]
+    held = Counter(t for d in docs for t in shingles(d, 3))
+    assert {59, 60, 61} <= set(held.values())
+    want = {int(token_sets([" ".join(t)], 3)[0][0]) for t, n in held.items() if n >= 60}
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(d,) for d in docs], parts), "text string").selectExpr("xxhash64(text) AS h1", "text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        got = common_tokens(df, 3, block)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert list(got) == sorted(want)
